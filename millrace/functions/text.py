@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word: a longest run of letters and digits (Python form and Java form).
 WORD_PY = r"[^\W_]+"
@@ -29,12 +30,12 @@ def normalize_text(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized_strict(text: pd.Series) -> pd.Series:
     return text.map(normalize_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_pair_json(problem: pd.Series, generation: pd.Series) -> pd.Series:
     """Compact JSON with sorted keys of a problem and its generation, non-ASCII kept."""
     return pd.Series(

@@ -127,8 +127,8 @@ def cut(text: str, rng: random.Random) -> str | None:
         if not clearly_cut(head):
             if not shown or shown[-1] in _TERMINAL + ")]}”\"'>$*":
                 continue
-            if at >= len(bare) and not (head[-1].isalpha() and text[at].isalpha()):
-                continue  # the rest of the closing statement may be complete as it is
+            if at >= len(bare) and not (head[-1].isalpha() and text[at].isalpha() and len(_TAIL_TOKEN.findall(text[len(bare) : at])) > 5):
+                continue  # the closing statement so far may be complete as it is
             if len(last_segment(shown)) < 2 and not shown[-1].isalpha():
                 continue
         elif shown.endswith("<think>"):

@@ -5,8 +5,8 @@ defective: cut, replaced by a copy of the question, answered in another language
 replaced by a refusal with or without reasoning before it, or emptied. One logistic model per
 defect reads hashed n-grams and pair features: how much of the answer stands in the question
 and the reverse, the language of each by sentence and whether the question asks for a language,
-markers of a result, and the closing of the answer. A first round finds the sample's own
-defective pairs and drops them from the negatives; thresholds are calibrated on held-out pairs.
+markers of a result, and the closing of the answer. A first round on structure alone finds the sample's
+own defective pairs and takes them out of the negatives; thresholds are calibrated on held-out pairs.
 Every pair is scored; a pair gets the defect with the largest margin over its threshold.
 
 Defined results for odd input: null, blank and stand-in answers are 'empty' whatever the
@@ -60,8 +60,8 @@ _RESULT = re.compile(r"boxed|=\s*[\\\d(]|\b(?:answer|result|total|therefore|rép
 # Ways to decline, for training; {} stands for nothing.
 _REFUSALS = {
     "en": (
-        ("", "I'm sorry, but ", "Sorry, ", "My apologies: ", "I apologize; ", "Unfortunately, ", "As an AI language model, ", "As an automated assistant, ", "To be honest, ", "Let me be clear: ", "Thank you for asking, however ", "After some thought, "),
-        ("I can't help with this request", "I cannot answer this question", "I'm unable to assist with that", "I am not able to work on this problem", "I won't be giving a solution", "I must decline to solve it", "I have to decline", "I will not provide an answer", "I would rather not answer", "no solution will be provided by me", "there will be no worked solution from my side", "I do not feel comfortable completing this task", "I choose not to do this", "my guidelines do not allow me to discuss this", "my instructions do not let me go into it", "this is outside of what I may discuss", "requests of this kind are not something I take on", "I have to pass on this exercise", "it is better that somebody else takes this one", "I would rather leave this one alone", "I cannot in good conscience provide the steps", "I refuse to answer", "I could try, but I choose not to"),
+        ("", "I'm sorry, but ", "Sorry, ", "My apologies: ", "I apologize; ", "Unfortunately, ", "Regrettably, ", "As an AI language model, ", "As an automated assistant, ", "To be honest, ", "Let me be clear: ", "Thank you for asking, however ", "After some thought, "),
+        ("I can't help with this request", "I cannot answer this question", "I'm unable to assist with that", "I am not able to work on this problem", "I won't be giving a solution", "I must decline to solve it", "I have to decline", "I will not provide an answer", "I would rather not answer", "no solution will be provided by me", "there will be no worked solution from my side", "I do not feel comfortable completing this task", "I choose not to do this", "my guidelines do not allow me to discuss this", "my instructions do not let me go into it", "this is outside of what I may discuss", "requests of this kind are not something I take on", "answering this would go against my rules", "this belongs to topics I keep away from", "I have to pass on this exercise", "it is better that somebody else takes this one", "I would rather leave this one alone", "I cannot in good conscience provide the steps", "I refuse to answer", "I could try, but I choose not to"),
         (".", ". Please ask a teacher instead.", " at this time.", ", and I hope you understand.", ". Is there something else you would like to talk about?", ". Thanks for your patience!", ". You could try a textbook on the topic.", ". The question remains open.", ""),
     ),
     "fr": (("", "Désolé, ", "Je regrette, mais ", "Malheureusement, "), ("je ne peux pas répondre à cette question", "je ne suis pas en mesure de vous aider", "je préfère ne pas traiter cet exercice", "je dois refuser cette demande", "je ne fournirai pas de solution", "ce sujet dépasse ce que je peux aborder", "mes consignes ne me permettent pas de donner une solution ici"), (".", ", merci de votre compréhension.", " ; adressez-vous à un professeur.", "")),
@@ -112,8 +112,8 @@ def _gram(word: str) -> str:
     return "0" if word[0].isdigit() else word
 
 
-def features(question: str | None, answer: str) -> np.ndarray:
-    """Feature indices of a pair whose answer says something."""
+def features(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]:
+    """(structure, words): feature indices of a pair whose answer says something."""
     out = ending_features(answer)
     plain = without_markers(answer)
     body = plain.rsplit("</think>", 1)[-1] if "</think>" in plain else plain.replace("<think>", " ")
@@ -128,15 +128,16 @@ def features(question: str | None, answer: str) -> np.ndarray:
     # n-grams of the body; names become one sign
     names = {m.lower() for m in re.findall(r"(?<=[^.!?。\s:])\s([A-ZÀ-Þ][^\W\d_]+)", body)}
     grams = ["A" if w in names else _gram(w) for w in plain_words]
+    lexical: list[str] = []
     short = min(size, 127).bit_length() <= 5
     for i, g in enumerate(grams):
-        out.append(f"n:{g}")
+        lexical.append(f"n:{g}")
         if i:
-            out.append(f"n:{grams[i - 1]} {g}")
+            lexical.append(f"n:{grams[i - 1]} {g}")
             if short and i > 1:
-                out.append(f"n:{grams[i - 2]} {grams[i - 1]} {g}")
+                lexical.append(f"n:{grams[i - 2]} {grams[i - 1]} {g}")
     if short:
-        out += [f"s:{result},{g}" for g in grams]
+        lexical += [f"s:{result},{g}" for g in grams]
     # copy
     if asked and words:
         have, want = Counter(words), Counter(asked)
@@ -156,7 +157,7 @@ def features(question: str | None, answer: str) -> np.ndarray:
         out.append(f"l:foreign={to != of and not requested and rest < 0.5 and language[of] >= 5}")
     else:
         out.append(f"l:none={bool(to)},{bool(of)}")
-    return linear.hashed(out)
+    return linear.hashed(out), linear.hashed(lexical)
 
 
 def refusal(language: str, rng: random.Random) -> str:
@@ -231,22 +232,25 @@ def train(sample: list[tuple[str | None, str | None]], seed: int = 5) -> linear.
         return linear.Linear(DEFECTS, np.zeros((linear.WIDTH, len(DEFECTS)), np.float32), np.zeros(len(DEFECTS)), np.ones(len(DEFECTS)))
     natural = [features(q, a) for q, a in pairs]
     made = [(k, features(q, a), d) for k, q, a, d in synthetic(pairs, seed)]
-    keep, model = np.ones(len(pairs), bool), None
-    for _ in range(3):
-        clean = np.flatnonzero(keep)
-        used = [(k, f, d) for k, f, d in made if keep[k]]
-        rows = [natural[k] for k in clean] + [f for _, f, _ in used]
-        owner = np.array([*clean, *[k for k, _, _ in used]], int)
+    keep, guessed, model = np.ones(len(pairs), bool), np.full(len(pairs), -1), None
+    for stage in range(3):
+        # Structure alone finds the sample's own defective pairs, whatever their wording; words join later.
+        view = (lambda f: f[0]) if stage == 0 else np.concatenate
+        clean, own = np.flatnonzero(keep), np.flatnonzero(guessed >= 0)
+        rows = [view(natural[k]) for k in [*clean, *own]] + [view(f) for _, f, _ in made]
+        owner = np.array([*clean, *own, *[k for k, _, _ in made]], int)
         truth = np.zeros((len(rows), len(DEFECTS)))
-        for i, (_, _, d) in enumerate(used):
-            truth[len(clean) + i, d] = 1
+        truth[np.arange(len(clean), len(clean) + len(own)), guessed[own]] = 1
+        truth[np.arange(len(clean) + len(own), len(rows)), [d for _, _, d in made]] = 1
         held = owner % 5 == 0
         part = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
         model = linear.train(DEFECTS, [rows[i] for i in part], truth[part])
         if held.any():
             at = np.flatnonzero(held)
-            linear.calibrate(model, [rows[i] for i in at], truth[at], np.where(truth[at].sum(1) > 0, 0.05, 1.0))
-        keep = (model.scores(natural) < np.maximum(model.thresholds, 0.3)).all(1)
+            linear.calibrate(model, [rows[i] for i in at], truth[at], np.where(truth[at].sum(1) > 0, 0.2, 1.0))
+        scores = model.scores([view(f) for f in natural])
+        keep = scores.max(1) < 0.3
+        guessed = np.where(scores.max(1) > 0.9, scores.argmax(1), -1)
         if not keep.any():
             break
     return model
@@ -255,7 +259,7 @@ def train(sample: list[tuple[str | None, str | None]], seed: int = 5) -> linear.
 def decide(model: linear.Linear, questions: list[str | None], answers: list[str | None]) -> list[str | None]:
     """The defect of each pair, or None."""
     empty = [says_nothing(a) for a in answers]
-    rows = [np.zeros(0, np.int32) if e else features(q, a) for q, a, e in zip(questions, answers, empty)]
+    rows = [np.zeros(0, np.int32) if e else np.concatenate(features(q, a)) for q, a, e in zip(questions, answers, empty)]
     scores = model.scores(rows)
     logit = lambda p: np.log(p / (1 - p))
     margin = logit(np.clip(scores, 1e-9, 1 - 1e-9)) - logit(np.clip(model.thresholds, 1e-9, 1 - 1e-9))
@@ -281,7 +285,7 @@ def pair_rows(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFrame:
     return out
 
 
-def defects(pairs: DataFrame, sample_rows: int = 6000) -> DataFrame:
+def defects(pairs: DataFrame, sample_rows: int = 4000) -> DataFrame:
     """table_name, row_id, defect of each defective pair; at most sample_rows pairs train the model."""
     sample = pairs.where("answer is not null").orderBy(F.xxhash64("table_name", "row_id"), "row_id").limit(sample_rows).select("question", "answer").toArrow()
     model = train(list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist())))

@@ -2,7 +2,7 @@
 
 Intact values of a bounded, documented sample are cut at random places to make positives; the
 values as they are, are the negatives. A first model finds the values of the sample that were
-cut already and drops them from the negatives; the second model is the result. Features are
+cut already and takes them out of the negatives; the third model is the result. Features are
 the closing characters, words and punctuation, open delimiters and reasoning over the whole
 text, and how near the record is to its token limit; stop fields keep the value of the uncut
 record in the positives, so that the model learns not to rely on them. The threshold is
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import linear
 from millrace.llm.ending import cut, ending_features, says_nothing
+from millrace.llm.pairdefects import refusal
 
 LIMIT = 2048
 
@@ -38,10 +39,15 @@ def features(text: str, tokens: int | None) -> np.ndarray:
     return linear.hashed(ending_features(text) + _limit_features(tokens))
 
 
-def train(sample: list[tuple[str, int | None]], seed: int = 11) -> linear.Linear:
-    """The model of intact against cut values."""
+def train(sample: list[tuple[str, str | None, int | None]], seed: int = 11) -> linear.Linear:
+    """The model of intact against cut values from (output, prompt, tokens).
+
+    Prompts and declining answers are intact texts too: they end otherwise than solutions do.
+    """
     rng = random.Random(seed)
-    values = [(t, n) for t, n in sample if not says_nothing(t)]
+    values = [(t, n) for t, _, n in sample if not says_nothing(t)]
+    values += [(p, n) for _, p, n in sample[::4] if not says_nothing(p)]
+    values += [(refusal(rng.choice(("en", "en", "en", "fr", "es", "de", "ru", "zh")), rng), n) for _, _, n in sample[::40]]
     natural = [features(t, n) for t, n in values]
     made = []
     for k, (t, n) in enumerate(values):
@@ -49,21 +55,24 @@ def train(sample: list[tuple[str, int | None]], seed: int = 11) -> linear.Linear
             c = cut(t, rng)
             if c:
                 made.append((k, features(c, n)))
-    keep = np.ones(len(values), bool)
-    model = None
+    if not values:
+        return linear.Linear(["truncated"], np.zeros((linear.WIDTH, 1), np.float32), np.zeros(1), np.ones(1))
+    keep, cut_already, model = np.ones(len(values), bool), np.zeros(len(values), bool), None
     for _ in range(3):
-        rows = [natural[k] for k in np.flatnonzero(keep)] + [f for k, f in made if keep[k]]
-        owner = np.array([*np.flatnonzero(keep), *[k for k, _ in made if keep[k]]], int)
-        truth = np.concatenate([np.zeros(int(keep.sum())), np.ones(len(rows) - int(keep.sum()))])[:, None]
-        if not len(rows):
-            return linear.Linear(["truncated"], np.zeros((linear.WIDTH, 1), np.float32), np.zeros(1), np.ones(1))
+        clean, own = np.flatnonzero(keep), np.flatnonzero(cut_already)
+        rows = [natural[k] for k in [*clean, *own]] + [f for _, f in made]
+        owner = np.array([*clean, *own, *[k for k, _ in made]], int)
+        truth = (np.arange(len(rows)) >= len(clean)).astype(float)[:, None]
         held = owner % 5 == 0
         part = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
         model = linear.train(["truncated"], [rows[i] for i in part], truth[part])
         if held.any():
             at = np.flatnonzero(held)
-            linear.calibrate(model, [rows[i] for i in at], truth[at], np.where(truth[at, 0] > 0, 0.1, 1.0))
-        keep = model.scores(natural)[:, 0] < 0.5
+            linear.calibrate(model, [rows[i] for i in at], truth[at], np.where(truth[at, 0] > 0, 0.2, 1.0))
+        found = model.scores(natural)[:, 0]
+        keep, cut_already = found < 0.5, found > 0.97
+        if not keep.any():
+            break
     return model
 
 
@@ -81,11 +90,12 @@ def _scored(model_bc):
     return run
 
 
-def scores(rows: DataFrame, id_col: str = "record_id", text_col: str = "output", tokens_col: str = "generated_tokens", sample_rows: int = 6000) -> DataFrame:
+def scores(rows: DataFrame, id_col: str = "record_id", text_col: str = "output", prompt_col: str = "prompt", tokens_col: str = "generated_tokens", sample_rows: int = 6000) -> DataFrame:
     """id, score, truncated for every row; at most sample_rows rows are used for training."""
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(tokens_col).cast("int").alias("tokens"))
-    sample = base.where("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("text", "tokens").toArrow()
-    model = train(list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist())))
+    sample = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(prompt_col).alias("prompt"), F.col(tokens_col).cast("int").alias("tokens"))
+    sample = sample.where("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("text", "prompt", "tokens").toArrow()
+    model = train(list(zip(*(sample.column(i).to_pylist() for i in range(3)))))
     model_bc = rows.sparkSession.sparkContext.broadcast(model)  # fixed size
     return base.mapInArrow(_scored(model_bc), "id bigint, score double, truncated boolean")
 

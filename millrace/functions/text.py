@@ -22,7 +22,7 @@ def words(text: Column) -> Column:
 
 def normalized_portable(text: Column) -> Column:
     """Lower case, blanks collapsed to one space, trimmed: the form SQL engines agree on."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[ \\t\\n\\r\\f]+", " "))
 
 
 def normalize_text(text: str) -> str:

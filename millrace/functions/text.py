@@ -52,9 +52,12 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, " ")).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, also where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(word_array: Column, n: int) -> Column:
     """Distinct n-word strings; an array shorter than n words has none."""
-    return F.when(
-        F.size(word_array) >= n,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(word_array) - (n - 1)), lambda i: F.array_join(F.slice(word_array, i, n), " "))),
-    ).otherwise(F.array().cast("array<string>"))
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(word_array, lambda w: F.when(F.size(w) >= n, F.array_distinct(windows(w))).otherwise(F.array().cast("array<string>")))

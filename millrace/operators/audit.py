@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace import runtime
 from millrace.functions import text as tx
 from millrace.operators.sampling import lowest
 
@@ -51,13 +52,10 @@ def shape_issues() -> Column:
 
 def think_balanced(c: Column) -> Column:
     """At least one reasoning tag, never closed before opened, all closed."""
+    step = lambda s, t: F.struct((s["open"] + F.when(t == "<think>", 1).otherwise(-1)).alias("open"), (s["ok"] & ((s["open"] > 0) | (t == "<think>"))).alias("ok"))
+    start = F.struct(F.lit(0).alias("open"), F.lit(True).alias("ok"))
     tags = F.regexp_extract_all(c, F.lit(r"(</?think>)"), F.lit(1))
-    walk = F.aggregate(
-        tags,
-        F.struct(F.lit(0).alias("open"), F.lit(True).alias("ok")),
-        lambda s, t: F.struct((s["open"] + F.when(t == "<think>", 1).otherwise(-1)).alias("open"), (s["ok"] & ((s["open"] > 0) | (t == "<think>"))).alias("ok")),
-    )
-    return (F.size(tags) > 0) & walk["ok"] & (walk["open"] == 0)
+    return F.aggregate(tags, start, step, lambda s: s["ok"] & (s["open"] == 0)) & F.contains(c, F.lit("<think>"))
 
 
 def generation_index() -> Column:
@@ -126,13 +124,21 @@ def audit(rows: DataFrame, suites: DataFrame, settings: AuditSettings, tokens: C
     joined = keyed.join(reasons, "row_index", "left")
     fits = F.col("token_count") <= settings.max_tokens
     ok = F.col("eligible") & F.col("reasons").isNull() & fits
-    placed = first_wins(joined.withColumn("ok", F.coalesce(ok, F.lit(False))), "sample_id", "row_index", F.col("ok"))
+    scanned = joined.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("fits", fits)
+    # The scan stage is written: what follows is a pure function of it and can be resumed from it.
+    scanned = runtime.written(scanned.select("row_index", "sample_id", "source", "token_count", "shape", "issue", "reasons", "fits", "ok"), "audit-scan")
+    return finish(scanned)
+
+
+def finish(scanned: DataFrame) -> DataFrame:
+    """The audit's result from its written scan stage; used for a first run and for recovery alike."""
+    placed = first_wins(scanned, "sample_id", "row_index", F.col("ok"))
     issues = (
         F.when(F.size("shape") > 0, F.col("shape"))
         .when(F.col("issue").isNotNull(), F.array("issue"))
         .when(F.col("row_index") > F.col("first_ok"), F.array(F.lit("duplicate_problem")))
         .when(F.col("reasons").isNotNull(), F.col("reasons"))
-        .when(~fits, F.array(F.lit("over_max_length")))
+        .when(~F.col("fits"), F.array(F.lit("over_max_length")))
         .otherwise(F.array().cast("array<string>"))
     )
     out = placed.select("row_index", "sample_id", F.coalesce("source", F.lit("unknown")).alias("source"), "token_count", issues.alias("issues"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.text import let
+
 IGNORED = -100
 
 
@@ -27,13 +29,15 @@ def assistant_labels(full: Column, prompt: Column, end_token: int) -> Column:
 
     Raises where the prompt is no prefix or no end token follows it.
     """
-    n = F.size(prompt)
-    rest = F.slice(full, n + 1, F.greatest(F.size(full) - n, F.lit(0)))
-    end = F.array_position(rest, F.lit(end_token)).cast("int")
-    labels = F.transform(full, lambda x, i: F.when((i >= n) & (i < n + end), x).otherwise(IGNORED))
-    return F.when(F.slice(full, 1, n) != prompt, F.raise_error("the prompt is not a prefix of the conversation").cast("array<int>")).when(
-        end == 0, F.raise_error("no end token after the prompt").cast("array<int>")
-    ).otherwise(labels)
+    wrong = lambda why: F.raise_error(why).cast("array<int>")
+
+    def labels(r: Column) -> Column:
+        ids, n = r["ids"], r["n"]
+        end = F.array_position(F.slice(ids, n + 1, F.greatest(F.size(ids) - n, F.lit(0))), F.lit(end_token)).cast("int")
+        kept = let(F.struct(ids.alias("ids"), n.alias("n"), end.alias("end")), lambda s: F.transform(s["ids"], lambda x, i: F.when((i >= s["n"]) & (i < s["n"] + s["end"]), x).otherwise(IGNORED)))
+        return F.when(F.slice(ids, 1, n) != r["prompt"], wrong("the prompt is not a prefix of the conversation")).when(end == 0, wrong("no end token after the prompt")).otherwise(kept)
+
+    return let(F.struct(full.alias("ids"), prompt.alias("prompt"), F.size(prompt).alias("n")), labels)
 
 
 def masked_labels(ids: Column, mask: Column) -> Column:

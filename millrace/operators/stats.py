@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def integer_distribution(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """count, min, nearest-rank p50/p95/p99, max, mean of an integer column."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
+    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})").cast(dict(rows.dtypes)[value])
     return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), F.min(value).alias("min"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean")
     )

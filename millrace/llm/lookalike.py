@@ -25,7 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from millrace import runtime
 
 # Letters of the same shape, Latin against Cyrillic, Greek and Armenian.
 _CYRILLIC = dict(zip("ABEKMHOPCTXSIJYaeopcyxsijhvdqw", "АВЕКМНОРСТХЅІЈУаеорсухѕіјһѵԁԛԝ", strict=True))
@@ -153,35 +154,44 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, undecided], names=["id", "raw_key", "canonical", "undecided"])
 
 
-@F.udf(T.StringType())
-def _replace_tokens(text: str, pairs) -> str:
-    table = {p.token: p.candidate for p in pairs}
-    return _TOKEN.sub(lambda m: table.get(m.group(), m.group()), text)
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, pairs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            table = {p["token"]: p["candidate"] for p in pairs or ()}
+            out.append(_TOKEN.sub(lambda m: table.get(m.group(), m.group()), text) if table else text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "raw_key", "canonical"])
 
 
 def one_form(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, raw_key (digest of the text as given), canonical: every row once."""
+    """id, raw_key (digest of the text as given), canonical: every row once.
+
+    The repaired texts are written once; vocabulary lookup and results read them from there.
+    """
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.sha2(text_col, 256)).alias("raw_key"), F.col(text_col).alias("text"))
-    done = base.mapInArrow(_repaired, _REPAIRED)
-    pending = done.where(F.size("undecided") > 0).select("id", F.explode("undecided").alias("u")).select("id", "u.token", "u.candidate")
+    done = runtime.written(base.mapInArrow(_repaired, _REPAIRED), "one-form")
+    undecided = done.where(F.size("undecided") > 0)
+    pending = undecided.select("id", F.explode("undecided").alias("u")).select("id", "u.token", "u.candidate")
     wanted = pending.select("candidate").distinct()
     # The vocabulary: tokens of all texts, looked up by join; distinct before the shuffle.
-    tokens = done.select(F.explode(F.array_distinct(F.regexp_extract_all("canonical", F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("candidate"))
+    tokens = done.select(F.explode(F.array_distinct(F.regexp_extract_all("canonical", F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("candidate")).distinct()
     present = wanted.join(tokens, "candidate", "left_semi")
     found = pending.join(present, "candidate").groupBy("id").agg(F.collect_set(F.struct("token", "candidate")).alias("pairs"))  # at most the tokens of a text
-    fixed = done.where(F.size("undecided") > 0).join(found, "id", "left")
-    fixed = fixed.select("id", "raw_key", F.when(F.col("pairs").isNotNull(), _replace_tokens("canonical", "pairs")).otherwise(F.col("canonical")).alias("canonical"))
+    fixed = undecided.join(found, "id", "left").select("id", "raw_key", "canonical", "pairs").mapInArrow(_replaced, "id bigint, raw_key binary, canonical string")
     return done.where(F.size("undecided") == 0).select("id", "raw_key", "canonical").unionByName(fixed)
 
 
 def lookalike_pairs(forms: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b: texts that differ in characters but have one canonical form.
 
-    Only groups of at least two different texts are joined; copies of one text are no pair.
+    Different texts of one form are paired first, copies collapsed; each pair of texts then
+    meets its documents. Copies of one text are never compared with each other.
     """
     keyed = forms.where("trim(canonical) != ''").select("id", "raw_key", F.unhex(F.sha2("canonical", 256)).alias("key"))
-    variants = keyed.groupBy("key", "raw_key").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("key")
-    member = keyed.join(variants, "key", "left_semi")
-    a = member.select("key", F.col("id").alias("doc_id_a"), F.col("raw_key").alias("raw_a"))
-    b = member.select("key", F.col("id").alias("doc_id_b"), F.col("raw_key").alias("raw_b"))
-    return a.join(b, "key").where("doc_id_a < doc_id_b and raw_a != raw_b").select("doc_id_a", "doc_id_b")
+    texts = keyed.select("key", "raw_key").distinct()
+    several = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    texts = texts.join(several, "key", "left_semi")
+    pairs = texts.withColumnRenamed("raw_key", "raw_a").join(texts.withColumnRenamed("raw_key", "raw_b"), "key").where("raw_a < raw_b").select("raw_a", "raw_b")
+    member = keyed.select("id", "raw_key")
+    both = pairs.join(member.select(F.col("id").alias("a"), F.col("raw_key").alias("raw_a")), "raw_a").join(member.select(F.col("id").alias("b"), F.col("raw_key").alias("raw_b")), "raw_b")
+    return both.where("a != b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

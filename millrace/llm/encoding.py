@@ -237,44 +237,76 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(texts: DataFrame, text_col: str, vocabulary: str, words: int) -> Automaton:
-    """The automaton of the corpus's most frequent pre-tokens, counted over all texts."""
+    """The automaton of the corpus's most frequent pre-tokens, counted over all texts.
+
+    A histogram of the counts (eight steps to the doubling) sets the least count to keep, so
+    that the final ranking receives a bounded number of words.
+    """
     counts = texts.select(F.col(text_col)).mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column(0).to_pylist()
+    counts = runtime.written(counts.where("length(word) <= 64"), "pretoken-counts")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)  # a few hundred rows
+    taken, least = 0, 0
+    for r in sizes:
+        taken, least = taken + r.k, r.level
+        if taken >= words:
+            break
+    if taken > 4 * words:  # one level with very many equal counts: all above it
+        least += 1
+    frequent = counts.where(level >= least).orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column(0).to_pylist()
     merges = Merges.at(vocabulary)
     return Automaton.build({bytes(w): merges.encode(bytes(w)) for w in frequent})
 
 
-def _encoded(path: str, shared: bool, vocabulary: str, memo_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Encoder:
+    """Encodes batches of texts: automaton first, exact merges for the rest, a bounded memo."""
+
+    def __init__(self, place: tuple[str, bool], vocabulary: str, memo_words: int = 300_000):
         from pyspark import SparkFiles
 
-        automaton = Automaton.mapped(path if shared else SparkFiles.get(path))
-        merges = Merges.at(vocabulary)
-        memo: dict[str, tuple[int, ...]] = {}
+        path, shared = place
+        self.automaton = Automaton.mapped(path if shared else SparkFiles.get(path))
+        self.merges = Merges.at(vocabulary)
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo_words = memo_words
+
+    def encode(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
+        """(ids of all texts, offsets)."""
+        split = [_SPLIT.findall(t) if t else [] for t in texts]
+        memo = self.memo
+        if len(memo) > self.memo_words:
+            memo.clear()
+        new = [w for w in set().union(*split) if w not in memo] if split else []
+        raw = [w.encode() for w in new]
+        for w, b, number in zip(new, raw, self.automaton.numbers(raw).tolist()):
+            memo[w] = self.automaton.outputs(number) if number >= 0 else tuple(self.merges.encode(b))
+        flat: list[int] = []
+        offsets = [0]
+        for words in split:
+            for w in words:
+                flat += memo[w]
+            offsets.append(len(flat))
+        return flat, offsets
+
+
+def _encoded(place: tuple[str, bool], vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(place, vocabulary)
         for batch in batches:
-            split = [_SPLIT.findall(t) if t else [] for t in batch.column(1).to_pylist()]
-            if len(memo) > memo_words:
-                memo.clear()
-            new = [w for w in set().union(*split) if w not in memo] if split else []
-            raw = [w.encode() for w in new]
-            for w, b, number in zip(new, raw, automaton.numbers(raw).tolist()):
-                memo[w] = automaton.outputs(number) if number >= 0 else tuple(merges.encode(b))
-            flat: list[int] = []
-            offsets = [0]
-            for words in split:
-                for w in words:
-                    flat += memo[w]
-                offsets.append(len(flat))
+            flat, offsets = encoder.encode(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
 
     return run
 
 
+def published(rows: DataFrame, text_col: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", lexicon_words: int = 50_000) -> tuple[tuple[str, bool], str]:
+    """(place of the automaton, path of the vocabulary) for Encoder."""
+    vocabulary = f"{tokenizers}/{name}.tiktoken"
+    return _publish(rows.sparkSession, lexicon(rows, text_col, vocabulary, lexicon_words).to_bytes()), vocabulary
+
+
 def encode(rows: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", lexicon_words: int = 50_000) -> DataFrame:
     """id, ids ARRAY<INT>: the ids of every text, without special tokens."""
-    vocabulary = f"{tokenizers}/{name}.tiktoken"
-    automaton = lexicon(rows, text_col, vocabulary, lexicon_words)
-    path, shared = _publish(rows.sparkSession, automaton.to_bytes())
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_encoded(path, shared, vocabulary, 300_000), "id bigint, ids array<int>")
+    return base.mapInArrow(_encoded(*published(base, "text", tokenizers, name, lexicon_words)), "id bigint, ids array<int>")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights: soft membership and projected-gradient rates.
 
-A table classifier (multinomial, hashed words) learns from the documents whose source is
+A table classifier (multinomial, hashed token ids) learns from the documents whose source is
 known and gives the others a posterior over the target sources and the rest. Documents with a
 known source belong to it wholly. A document without one joins the mix only if a target source
 has at least the stated posterior, and then counts towards the sources by its posterior.
@@ -23,9 +23,7 @@ or repeats count as 0; an empty table gives an empty mix; only the named columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace import runtime
-from millrace.functions.text import WORD_PY
 from millrace.llm import encoding
 
 WIDTH = 1 << 14
@@ -42,68 +39,70 @@ _LEVELS = 16
 _BUCKETS = 4096
 
 
-def _features(text: str) -> list[int]:
-    return [crc32(w.encode()) & (WIDTH - 1) for w in re.findall(WORD_PY, text.lower())]
+_SIZED = "id bigint, source string, tokens int, class int, bucket int, n bigint"
 
 
-def _tables(classes: dict[str, int]):
-    """Word counts per class and bucket of the labelled documents; the last class is the rest."""
+def _sized(place, vocabulary: str, classes: dict[str, int]):
+    """Token counts of all documents, and the classifier's table from those with a source.
+
+    Table rows hold class, bucket and count; bucket -1 counts documents, the last class is the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(classes) + 1, WIDTH), np.int64)
-        docs = np.zeros(len(classes) + 1, np.int64)
+        encoder = encoding.Encoder(place, vocabulary)
+        counts, docs = np.zeros((len(classes) + 1, WIDTH), np.int64), np.zeros(len(classes) + 1, np.int64)
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        names = ["id", "source", "tokens", "class", "bucket", "n"]
+
+        def rows(count, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(count, k) for c, k in zip(names, kinds)], names=names)
+
         for batch in batches:
-            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if source is not None and text:
-                    k = classes.get(source, len(classes))
-                    docs[k] += 1
-                    np.add.at(counts[k], _features(text), 1)
+            sources = batch.column(1).to_pylist()
+            flat, offsets = encoder.encode(batch.column(2).to_pylist())
+            ids, sizes = np.array(flat, np.int64) & (WIDTH - 1), np.diff(offsets)
+            of = np.array([-1 if s is None else classes.get(s, len(classes)) for s in sources], np.int64)
+            for k in np.unique(of[(of >= 0) & (sizes > 0)]).tolist():
+                counts[k] += np.bincount(ids[np.repeat(of == k, sizes)], minlength=WIDTH)
+                docs[k] += int(((of == k) & (sizes > 0)).sum())
+            yield rows(len(sources), id=batch.column(0), source=batch.column(1), tokens=sizes.astype(np.int32))
         k, b = np.nonzero(counts)
-        kk = np.flatnonzero(docs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([k, kk]).astype(np.int32)), pa.array(np.concatenate([b, np.full(len(kk), -1)]).astype(np.int32)), pa.array(np.concatenate([counts[k, b], docs[kk]]))],
-            names=["class", "bucket", "n"],
-        )
+        d = np.flatnonzero(docs)
+        if len(d):
+            yield rows(len(k) + len(d), **{"class": np.concatenate([k, d]).astype(np.int32), "bucket": np.concatenate([b, np.full(len(d), -1)]).astype(np.int32), "n": np.concatenate([counts[k, b], docs[d]])})
 
     return run
 
 
-def train_table(labelled: DataFrame, sources: list[str]) -> np.ndarray:
-    """Log weights [classes + 1, WIDTH + 1] (last column: prior), from all labelled documents."""
-    classes = {s: k for k, s in enumerate(sources)}
-    table = labelled.select("source", "text").mapInArrow(_tables(classes), "class int, bucket int, n bigint").groupBy("class", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.ones((len(sources) + 1, WIDTH))
-    docs = np.full(len(sources) + 1, 0.5)
-    k, b, n = (table.column(c).to_numpy() for c in ("class", "bucket", "n"))
+def table_weights(table: DataFrame, classes: int) -> np.ndarray:
+    """Log weights [classes + 1, WIDTH + 1] (last column: prior) from class, bucket, n rows."""
+    found = table.groupBy("class", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most (classes + 1) * (WIDTH + 1) rows
+    counts, docs = np.ones((classes + 1, WIDTH)), np.full(classes + 1, 0.5)
+    k, b, n = (found.column(c).to_numpy() for c in ("class", "bucket", "n"))
     np.add.at(counts, (k[b >= 0], b[b >= 0]), n[b >= 0])
     np.add.at(docs, k[b < 0], n[b < 0])
-    weights = np.log(counts / counts.sum(1, keepdims=True))
-    return np.concatenate([weights, np.log(docs / docs.sum())[:, None]], 1)
+    return np.concatenate([np.log(counts / counts.sum(1, keepdims=True)), np.log(docs / docs.sum())[:, None]], 1)
 
 
-def posterior(weights: np.ndarray, text: str) -> np.ndarray:
-    found = _features(text)
-    score = weights[:, -1] + weights[:, found].sum(1)
+def posterior(weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Class probabilities of a document's hashed token ids; the last class is the rest."""
+    score = weights[:, -1] + weights[:, ids].sum(1)
     p = np.exp(score - score.max())
     return p / p.sum()
 
 
-def _members(weights_bc, sources: list[str], admit: float):
-    """Membership in sixteenths of each target source; null for documents outside the mix."""
-    one = {s: [_LEVELS * (k == j) for j in range(len(sources))] for k, s in enumerate(sources)}
+def _guessed(place, vocabulary: str, weights_bc, admit: float):
+    """Membership of documents without a source in sixteenths; null where no posterior reaches admit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoding.Encoder(place, vocabulary)
         for batch in batches:
-            out = []
-            for source, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if source is not None:
-                    out.append(one.get(source))
-                elif not text:
-                    out.append(None)
-                else:
-                    p = posterior(weights_bc.value, text)[:-1]
-                    out.append(np.round(p * _LEVELS).astype(int).tolist() if len(p) and p.max() >= admit else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "membership"])
+            flat, offsets = encoder.encode(batch.column(1).to_pylist())
+            ids, out = np.array(flat, np.int64) & (WIDTH - 1), []
+            for a, b in zip(offsets, offsets[1:]):
+                p = posterior(weights_bc.value, ids[a:b])[:-1]
+                out.append(",".join(map(str, np.round(p * _LEVELS).astype(int))) if b > a and len(p) and p.max() >= admit else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int32()), pa.array(out, pa.string())], names=["id", "tokens", "membership"])
 
     return run
 
@@ -136,16 +135,19 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     sources = [w[0] for w in wanted]
     share, cap = np.array([w[1] for w in wanted]), np.array([w[2] for w in wanted], float)
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    weights = spark.sparkContext.broadcast(train_table(docs, sources))
-    sized = encoding.encode(docs, "id", "text", tokenizers).select("id", F.size("ids").alias("tokens"))
-    member = docs.mapInArrow(_members(weights, sources, admit), "id bigint, membership array<int>").where("membership is not null")
+    place = encoding.published(docs, "text", tokenizers)
+    sized = runtime.written(docs.mapInArrow(_sized(*place, {s: k for k, s in enumerate(sources)}), _SIZED), "mix-sized")
+    weights = spark.sparkContext.broadcast(table_weights(sized.where("class is not null"), len(sources)))
+    own = spark.createDataFrame([(s, ",".join(str(_LEVELS * (k == j)) for j in range(len(sources)))) for k, s in enumerate(sources)], "source string, membership string")
+    known = sized.where("class is null and source is not null").join(F.broadcast(own), "source").select("id", "tokens", "membership")  # one row per target source
+    guessed = docs.where("source is null and text is not null").select("id", "text").mapInArrow(_guessed(*place, weights, admit), "id bigint, tokens int, membership string")
     bucket = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(_BUCKETS)).cast("int")
-    base = member.join(sized.where("tokens > 0"), "id").select("id", "tokens", "membership", bucket.alias("bucket"), F.sha2(F.concat(F.lit(salt + ":"), F.col("id").cast("string")), 256).alias("priority"))
-    base = runtime.written(base, "mix-base")
+    base = known.unionByName(guessed).where("id is not null and tokens > 0 and membership is not null")
+    base = base.select("id", "tokens", "membership", bucket.alias("bucket"), F.sha2(F.concat(F.lit(salt + ":"), F.col("id").cast("string")), 256).alias("priority"))
     histogram = base.groupBy("membership", "bucket").agg(F.sum("tokens").alias("tokens"))
     groups: dict[tuple[int, ...], np.ndarray] = {}
-    for r in histogram.toLocalIterator():
-        groups.setdefault(tuple(r.membership), np.zeros(_BUCKETS, np.int64))[r.bucket] = r.tokens
+    for r in histogram.toLocalIterator():  # memberships are few, buckets fixed
+        groups.setdefault(tuple(map(int, r.membership.split(","))), np.zeros(_BUCKETS, np.int64))[r.bucket] = r.tokens
     keys = sorted(groups)
     members = np.array(keys, float).reshape(len(keys), len(sources))
     members = np.divide(members, members.sum(1, keepdims=True), out=np.zeros_like(members), where=members.sum(1, keepdims=True) > 0)
@@ -162,10 +164,10 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
         rest = max(0.0, rate - whole) * groups[k].sum()
         run = np.cumsum(groups[k])
         at = int(np.searchsorted(run, rest, "right")) if rest >= 1 else 0
-        cuts.append(("".join(f"{x}," for x in k), sources[int(np.argmax(k))], whole, at, float(rest - (run[at - 1] if at else 0)) if rest >= 1 else 0.0))
-    plan = spark.createDataFrame(cuts, "membership_key string, assigned string, whole int, cut int, rest double")
-    keyed = base.select("*", F.concat(F.array_join("membership", ","), F.lit(",")).alias("membership_key")).join(F.broadcast(plan), "membership_key")  # one row per membership
-    run = F.sum("tokens").over(Window.partitionBy("membership_key", "bucket").orderBy("priority", "id"))
+        cuts.append((",".join(map(str, k)), sources[int(np.argmax(k))], whole, at, float(rest - (run[at - 1] if at else 0)) if rest >= 1 else 0.0))
+    plan = spark.createDataFrame(cuts, "membership string, assigned string, whole int, cut int, rest double")
+    keyed = base.join(F.broadcast(plan), "membership")  # one row per membership
+    run = F.sum("tokens").over(Window.partitionBy("membership", "bucket").orderBy("priority", "id"))
     edge = keyed.where("bucket = cut").withColumn("extra", (run <= F.col("rest") + F.col("tokens") / 2).cast("int"))
     inner = keyed.where("bucket != cut").withColumn("extra", (F.col("bucket") < F.col("cut")).cast("int"))
     chosen = inner.unionByName(edge).select("id", F.col("assigned").alias("source"), "tokens", (F.col("whole") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import linear
 from millrace.llm.ending import cut, ending_features, says_nothing, without_markers
+from millrace.operators import sampling
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "other_language"]
 
@@ -287,7 +288,7 @@ def pair_rows(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFrame:
 
 def defects(pairs: DataFrame, sample_rows: int = 4000) -> DataFrame:
     """table_name, row_id, defect of each defective pair; at most sample_rows pairs train the model."""
-    sample = pairs.where("answer is not null").orderBy(F.xxhash64("table_name", "row_id"), "row_id").limit(sample_rows).select("question", "answer").toArrow()
+    sample = sampling.bounded(pairs, ["table_name", "row_id"], sample_rows).select("question", "answer").toArrow()
     model = train(list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist())))
     model_bc = pairs.sparkSession.sparkContext.broadcast(model)  # fixed size
     return pairs.mapInArrow(_decided(model_bc), "table_name string, row_id bigint, defect string").where("defect is not null")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import linear
 from millrace.llm.ending import cut, ending_features, says_nothing
 from millrace.llm.pairdefects import refusal
+from millrace.operators import sampling
 
 LIMIT = 2048
 
@@ -94,7 +95,7 @@ def scores(rows: DataFrame, id_col: str = "record_id", text_col: str = "output",
     """id, score, truncated for every row; at most sample_rows rows are used for training."""
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(tokens_col).cast("int").alias("tokens"))
     sample = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(prompt_col).alias("prompt"), F.col(tokens_col).cast("int").alias("tokens"))
-    sample = sample.where("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("text", "prompt", "tokens").toArrow()
+    sample = sampling.bounded(sample, ["id"], sample_rows).select("text", "prompt", "tokens").toArrow()
     model = train(list(zip(*(sample.column(i).to_pylist() for i in range(3)))))
     model_bc = rows.sparkSession.sparkContext.broadcast(model)  # fixed size
     return base.mapInArrow(_scored(model_bc), "id bigint, score double, truncated boolean")

@@ -11,22 +11,19 @@ A record longer than the capacity is cut into full pieces and a rest; all others
 
 Defined results for odd input: records with a null or empty id, null, empty or unequally long
 lists, null elements, or no supervised label after the first position are invalid: they are in
-no sequence and are counted by reason. Records delivered twice are packed each, told apart by
-copy (1, 2, ...). Ties in length are ordered by key. An empty table gives no sequences. Only
+no sequence and are counted by reason. Records delivered twice are packed each: variant is the
+hash of the delivered record, copy tells equal ones apart (1, 2, ...). Ties in length are ordered by key. An empty table gives no sequences. Only
 the named columns are read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace import runtime
 
@@ -99,14 +96,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, free
 
 
-_ITEM = "sample_id string, copy int, piece_start int, piece_length int"
+_KEYS = ["sample_id", "variant", "copy", "piece_start"]
+_ITEM = "sample_id string, variant bigint, copy bigint, piece_start int, piece_length int"
 _PLACED = _ITEM + ", round int, part bigint, bin bigint, position int, done boolean, bound bigint"
 
 
 def _packer(capacity: int, round_no: int, last: bool):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
-        pdf = pdf.sort_values(["piece_length", "sample_id", "copy", "piece_start"], ascending=[False, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["piece_length", *_KEYS], ascending=[False, True, True, True, True], ignore_index=True)
         lengths = pdf["piece_length"].to_numpy(np.int64)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         where, offset, free = best_fit_decreasing(lengths, capacity)
@@ -118,7 +116,7 @@ def _packer(capacity: int, round_no: int, last: bool):
             open_bin &= loose > 0
         return pd.DataFrame(
             {
-                "sample_id": pdf["sample_id"], "copy": pdf["copy"], "piece_start": pdf["piece_start"], "piece_length": pdf["piece_length"],
+                "sample_id": pdf["sample_id"], "variant": pdf["variant"], "copy": pdf["copy"], "piece_start": pdf["piece_start"], "piece_length": pdf["piece_length"],
                 "round": np.int32(round_no), "part": part, "bin": where, "position": offset.astype(np.int32), "done": ~open_bin[where], "bound": bound,
             }
         )
@@ -126,17 +124,24 @@ def _packer(capacity: int, round_no: int, last: bool):
     return pack
 
 
-def items(rows: DataFrame, capacity: int) -> DataFrame:
-    """sample_id, copy, piece_start, piece_length of all valid records."""
-    valid = rows.select("sample_id", "recorded_at", F.size("input_ids").alias("n"), F.hash("input_ids", "labels").alias("h"), reason().alias("why")).where("why is null")
-    numbered = valid.select("sample_id", "n", F.row_number().over(Window.partitionBy("sample_id").orderBy("recorded_at", "n", "h")).alias("copy"))
-    pieces = F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}").cast("int"))
-    cut = numbered.select("sample_id", "copy", "n", F.explode(pieces).alias("k"))
-    return cut.select("sample_id", "copy", (F.col("k") * capacity).alias("piece_start"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).alias("piece_length"))
+def items(rows: DataFrame, capacity: int, block: int = 10_000) -> DataFrame:
+    """sample_id, variant, copy, piece_start, piece_length of all valid records.
+
+    Equal records are counted with map-side combine, so a record delivered very often is one
+    row in the shuffle; its copies are laid out again in blocks that spread over the tasks.
+    """
+    valid = rows.select("sample_id", F.size("input_ids").alias("n"), F.xxhash64("recorded_at", "input_ids", "labels").alias("variant"), reason().alias("why")).where("why is null")
+    counted = valid.groupBy("sample_id", "variant", "n").agg(F.count(F.lit(1)).alias("m"))
+    few = counted.where(F.col("m") <= block).withColumn("first", F.lit(0).cast("bigint"))
+    many = counted.where(F.col("m") > block).select("sample_id", "variant", "n", "m", F.explode(F.expr(f"sequence(0L, m - 1, {block}L)")).alias("first")).repartition("sample_id", "first")
+    last = F.least(F.col("m"), F.col("first") + block)
+    laid = few.unionByName(many).select("sample_id", "variant", "n", F.explode(F.sequence(F.col("first") + 1, last)).alias("copy"))
+    cut = laid.select("sample_id", "variant", "copy", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}").cast("int"))).alias("k"))
+    return cut.select("sample_id", "variant", "copy", (F.col("k") * capacity).alias("piece_start"), F.least(F.lit(capacity), F.col("n") - F.col("k") * capacity).alias("piece_length"))
 
 
 def pack(rows: DataFrame, capacity: int = 1024, part_items: int = 20_000, rounds: int = 3) -> DataFrame:
-    """sequence_id, position, sample_id, copy, piece_start, piece_length: every valid piece once."""
+    """sequence_id, position, sample_id, variant, copy, piece_start, piece_length: every valid piece once."""
     if capacity < 1 or part_items < 1 or rounds < 1:
         raise ValueError("capacity, part_items and rounds must be positive")
     waiting = runtime.written(items(rows, capacity), "pack-items")
@@ -146,7 +151,7 @@ def pack(rows: DataFrame, capacity: int = 1024, part_items: int = 20_000, rounds
         if not count and r > 1:
             break
         parts = max(1, math.ceil(count / part_items))
-        spread = waiting.select("sample_id", "copy", "piece_start", "piece_length", F.pmod(F.xxhash64(F.lit(r), "sample_id", "copy", "piece_start"), F.lit(parts)).alias("part"))
+        spread = waiting.select(*_KEYS, "piece_length", F.pmod(F.xxhash64(F.lit(r), *_KEYS), F.lit(parts)).alias("part"))
         placed = runtime.written(spread.groupBy("part").applyInPandas(_packer(capacity, r, r == rounds), _PLACED), f"pack-round-{r}")
         finished.append(placed.where("done"))
         waiting = placed.where("not done")
@@ -154,7 +159,7 @@ def pack(rows: DataFrame, capacity: int = 1024, part_items: int = 20_000, rounds
     for part in finished[1:]:
         out = out.unionByName(part)
     sequence = F.concat_ws("-", "round", "part", "bin")
-    return out.select(sequence.alias("sequence_id"), "position", "sample_id", "copy", "piece_start", "piece_length")
+    return out.select(sequence.alias("sequence_id"), "position", *_KEYS, "piece_length")
 
 
 def pack_report(rows: DataFrame, placed: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -9,9 +9,13 @@ import numpy as np
 WIDTH = 1 << 18
 
 
-def hashed(names: list[str]) -> np.ndarray:
-    """Sorted distinct feature indices of feature names."""
-    return np.unique(np.fromiter((crc32(n.encode("utf-8", "surrogatepass")) & (WIDTH - 1) for n in names), np.int32, len(names)))
+HALF = WIDTH // 2
+
+
+def hashed(names: list[str], upper: bool = False) -> np.ndarray:
+    """Sorted distinct feature indices of feature names, in the lower or the upper half."""
+    base = HALF if upper else 0
+    return np.unique(np.fromiter((base + (crc32(n.encode("utf-8", "surrogatepass")) & (HALF - 1)) for n in names), np.int32, len(names)))
 
 
 class Linear:
@@ -34,8 +38,11 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -40, 40)))
 
 
-def train(labels: list[str], rows: list[np.ndarray], truth: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 1e-6, seed: int = 7) -> Linear:
-    """Adaptive-step stochastic gradient descent on the logistic loss; deterministic."""
+def train(labels: list[str], rows: list[np.ndarray], truth: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 1e-6, seed: int = 7, lower_only: tuple[int, ...] = ()) -> Linear:
+    """Adaptive-step stochastic gradient descent on the logistic loss; deterministic.
+
+    The labels in lower_only learn from features of the lower half alone.
+    """
     rng = np.random.default_rng(seed)
     k = truth.shape[1]
     model = Linear(labels, np.zeros((WIDTH, k), np.float32), np.zeros(k), np.full(k, 0.5))
@@ -49,6 +56,7 @@ def train(labels: list[str], rows: list[np.ndarray], truth: np.ndarray, epochs:
             owner = np.repeat(np.arange(len(batch)), [len(r) for r in chosen])
             used, at = np.unique(np.concatenate(chosen), return_inverse=True)
             slope = np.stack([np.bincount(at, error[owner, c], len(used)) for c in range(k)], 1) + decay * model.weights[used]
+            slope[np.ix_(used >= HALF, lower_only)] = 0
             squares[used] += slope**2
             model.weights[used] -= rate * slope / np.sqrt(squares[used])
             total = error.sum(0)

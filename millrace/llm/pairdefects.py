@@ -71,6 +71,12 @@ _REFUSALS = {
     "ru": (("", "Извините, ", "К сожалению, ", "Простите, "), ("я не могу ответить на этот вопрос", "я не могу помочь с этой просьбой", "я не буду решать эту задачу", "я вынужден отказаться", "я предпочёл бы не решать эту задачу", "эта тема выходит за рамки того, что я могу обсуждать", "мои правила не позволяют мне дать здесь решение"), (".", ", спасибо за понимание.", "; обратитесь к преподавателю.", "")),
     "zh": (("", "抱歉,", "对不起,", "很遗憾,"), ("我无法回答这个问题", "我不能帮助解答这个请求", "我不方便解这道题", "这类题目我不处理", "我拒绝回答", "这超出了我可以讨论的范围", "我的规定不允许我在这里给出解答"), ("。", ",谢谢理解。", ",请咨询老师。", "")),
 }
+_ABOUT = {
+    "en": "The question about {} and {} remains open.", "fr": "La question sur {} et {} reste ouverte.", "es": "La pregunta sobre {} y {} queda abierta.",
+    "de": "Die Frage zu {} und {} bleibt offen.", "ru": "Вопрос о {} и {} остаётся открытым.", "zh": "关于{}和{}的问题留待以后。",
+}
+_LANGUAGES = {"en": ("English", "inglés", "anglais", "Englisch"), "fr": ("French", "français"), "es": ("Spanish", "español"), "de": ("German", "Deutsch"), "ru": ("Russian", "русский язык"), "zh": ("Chinese", "中文")}
+_WISHES = ("Answer in {}.", "Please answer in {}.", "Reply in {}.", "Your answer should be in {}.", "Write the solution in {}.", "Use {} for the whole answer.", "({}, please)", "The reply must be written in {}.")
 _INTROS = ("", "", "", "Restating the task: ", "We are told: ", "The problem says: ", "You asked: ", "Question: ", "The question is as follows:\n", "Problem:\n", "> ", "* ", "- ", "Here is the problem again: ")
 
 
@@ -140,6 +146,7 @@ def features(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]
     if short:
         lexical += [f"s:{result},{g}" for g in grams]
     # copy
+    cover = 0.0
     if asked and words:
         have, want = Counter(words), Counter(asked)
         shared = sum(min(n, have[w]) for w, n in want.items() if w in have)
@@ -148,6 +155,8 @@ def features(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]
         cover = shared / len(asked)
         out += [f"c:inside={_step(inside, 20)}", f"c:cover={_step(cover)}", f"c:both={_step(inside)},{_step(cover, 5)}", f"c:extra={min(extra, 16).bit_length()},{_step(cover, 5)}"]
         out.append(f"c:all={inside > 0.85},{cover > 0.85},{min(len(words), 9) > 8},{extra <= 6}")
+    told = not digits and not result and bool(body_words)
+    out.append(f"b:told={told},{body.rstrip()[-1:] in '.!?。！？'},{bool(asked) and cover < 0.5}")
     # language
     to, of = _language(asked_in), _language(language)
     if to and of:
@@ -158,14 +167,20 @@ def features(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]
         out.append(f"l:foreign={to != of and not requested and rest < 0.5 and language[of] >= 5}")
     else:
         out.append(f"l:none={bool(to)},{bool(of)}")
-    return linear.hashed(out), linear.hashed(lexical)
+    return linear.hashed(out), linear.hashed(lexical, upper=True)
 
 
-def refusal(language: str, rng: random.Random) -> str:
-    start, say, end = (rng.choice(x) for x in _REFUSALS.get(language) or _REFUSALS["en"])
+def refusal(language: str, rng: random.Random, question: str | None = None) -> str:
+    """A declining answer, at times with a second sentence or a word about the question."""
+    known = _REFUSALS.get(language) or _REFUSALS["en"]
+    start, say, end = (rng.choice(x) for x in known)
     text = start + (say if start else say[0].upper() + say[1:]) + end
     if rng.random() < 0.25:
-        text = text + " " + rng.choice((_REFUSALS.get(language) or _REFUSALS["en"])[1]) + "."
+        again = rng.choice(known[1])
+        text += " " + again[0].upper() + again[1:] + ("。" if language == "zh" else ".")
+    if rng.random() < 0.25:
+        about = re.findall(r"[^\W\d_]{4,}", question or "") or ["this"]
+        text += f" {_ABOUT.get(language, _ABOUT['en']).format(rng.choice(about), rng.choice(about))}"
     return text
 
 
@@ -195,7 +210,7 @@ _MARKS = ("", "", "", "<|im_end|>")
 
 
 def synthetic(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[int, str | None, str, int]]:
-    """(index of the origin, question, answer, defect) made from pairs."""
+    """(index of the origin, question, answer, defect or -1) made from pairs."""
     rng = random.Random(seed)
     by: dict[str, list[int]] = {}
     spoken = []
@@ -210,12 +225,14 @@ def synthetic(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[int,
             if c := cut(a, rng):
                 out.append((k, q, c, 1))
         asked = _language(read(q)[1]) if q else ""
-        say = refusal(asked or "en", rng)
-        if rng.random() < 0.4:
+        tongues = [asked or "en"] + ([rng.choice(list(_REFUSALS))] if rng.random() < 0.3 else [])
+        for say in [refusal(x, rng, q) for x in tongues]:
+            if rng.random() >= 0.4:
+                out.append((k, q, say + rng.choice(_MARKS), 2))
+                continue
             m = re.match(r"\s*<think>.*?</think>", a, re.S)
             thought = m.group() if m else "<think>\n" + (a[: a.find(".") + 1] or a) + "\n</think>"
-            say = thought + "\n\n" + say
-        out.append((k, q, say + rng.choice(_MARKS), 2))
+            out.append((k, q, thought + "\n\n" + say + rng.choice(_MARKS), 2))
         if q and q.strip() and len(q) > 20:
             out.append((k, q, copied(q, rng) + rng.choice(_MARKS), 3))
             others = [x for x in by if x != asked and not _NAMES[x].search(q.lower())]
@@ -223,6 +240,8 @@ def synthetic(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[int,
                 j = rng.choice(by[rng.choice(others)])
                 if says_nothing(pairs[j][1]) is False:
                     out.append((k, q, pairs[j][1], 4))
+                    wish = rng.choice(_WISHES).format(rng.choice(_LANGUAGES[spoken[j]]))
+                    out.append((k, f"{q} {wish}" if rng.random() < 0.8 else f"{wish} {q}", pairs[j][1], -1))  # asked for: no defect
     return out
 
 
@@ -242,16 +261,19 @@ def train(sample: list[tuple[str | None, str | None]], seed: int = 5) -> linear.
         owner = np.array([*clean, *own, *[k for k, _, _ in made]], int)
         truth = np.zeros((len(rows), len(DEFECTS)))
         truth[np.arange(len(clean), len(clean) + len(own)), guessed[own]] = 1
-        truth[np.arange(len(clean) + len(own), len(rows)), [d for _, _, d in made]] = 1
+        for i, (_, _, d) in enumerate(made, len(clean) + len(own)):
+            if d >= 0:
+                truth[i, d] = 1
         held = owner % 5 == 0
         part = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
-        model = linear.train(DEFECTS, [rows[i] for i in part], truth[part])
+        model = linear.train(DEFECTS, [rows[i] for i in part], truth[part], lower_only=(DEFECTS.index("truncated"),))
         if held.any():
             at = np.flatnonzero(held)
             linear.calibrate(model, [rows[i] for i in at], truth[at], np.where(truth[at].sum(1) > 0, 0.2, 1.0))
         scores = model.scores([view(f) for f in natural])
-        keep = scores.max(1) < 0.3
-        guessed = np.where(scores.max(1) > 0.9, scores.argmax(1), -1)
+        # cuts come in many degrees, so they must be plainer than the other defects to count as found
+        keep = (scores < [0.5, 0.5, 0.3, 0.3, 0.3]).all(1)
+        guessed = np.where((scores > [0.97, 0.97, 0.9, 0.9, 0.9]).any(1), scores.argmax(1), -1)
         if not keep.any():
             break
     return model

@@ -128,11 +128,15 @@ def stratified_sample(rows: DataFrame, group: str, strata: list[str], quota: int
     as the strata are taken first.
     """
     keyed = rows.withColumn("priority", order_key)
-    order = [F.col("priority"), F.col(tie)]
-    first = F.row_number().over(Window.partitionBy(group, *strata).orderBy(*order)) == 1
-    keyed = keyed.withColumn("covers", first)
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("covers").desc(), *order))
-    return keyed.withColumn("place", place).where((F.col("place") <= quota) | F.col("covers"))
+    record = F.struct("priority", tie, F.struct(*rows.columns).alias("row"))
+    # One row per stratum by an aggregate, and the quota's first rows per group behind a group
+    # limit in every task; only these few rows meet in the final ranking.
+    covers = keyed.groupBy(group, *strata).agg(F.min_by(record, F.struct("priority", tie)).alias("r")).select("r.*", F.lit(True).alias("covers"))
+    best = F.row_number().over(Window.partitionBy(group).orderBy("priority", tie))
+    first = keyed.withColumn("_n", best).where(F.col("_n") <= quota).select("priority", F.col(tie), F.struct(*rows.columns).alias("row"), F.lit(False).alias("covers"))
+    few = covers.unionByName(first).groupBy("priority", tie).agg(F.first("row").alias("row"), F.bool_or("covers").alias("covers")).select("row.*", "priority", "covers")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("covers").desc(), "priority", tie))
+    return few.withColumn("place", place).where((F.col("place") <= quota) | F.col("covers"))
 
 
 def stratum_counts(rows: DataFrame, strata: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.stats import integer_distribution
+from millrace.operators.stats import distribution_columns
 from millrace.sources import files
 
 
@@ -79,10 +79,9 @@ def bundle_manifest(artifacts: dict[str, str], expected: dict[str, str], review_
 
 def audit_manifest(audited: DataFrame) -> DataFrame:
     """One row: rows, accepted, rejected and the length distribution of accepted rows."""
-    counts = audited.agg(F.count(F.lit(1)).alias("rows"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
-    lengths = integer_distribution(audited.where("accepted"), "token_count")
-    named = lengths.select(*[F.col(c).alias(f"tokens_{c}") for c in lengths.columns])
-    return counts.join(F.broadcast(named))  # one row
+    kept = audited.withColumn("_kept", F.when(F.col("accepted"), F.col("token_count")))
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected")]
+    return kept.agg(*counts, *distribution_columns("_kept", "int", "tokens_"))
 
 
 def failure_evidence(audited: DataFrame, folder: str, needed: int) -> None:

@@ -10,17 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def distribution_columns(value: str, kind: str, prefix: str = "") -> list[Column]:
+    """count, min, nearest-rank p50/p95/p99, max, mean of an integer column's non-null values."""
+    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})").cast(kind)
+    columns = {"count": F.count(value), "min": F.min(value), "p50": disc(0.5), "p95": disc(0.95), "p99": disc(0.99), "max": F.max(value), "mean": F.round(F.avg(value), 6)}
+    return [c.alias(prefix + n) for n, c in columns.items()]
+
+
 def integer_distribution(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, min, nearest-rank p50/p95/p99, max, mean of an integer column."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})").cast(dict(rows.dtypes)[value])
-    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"), F.min(value).alias("min"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), disc(0.99).alias("p99"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean")
-    )
+    """The distribution of an integer column per group; nulls do not count."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(*distribution_columns(value, dict(rows.dtypes)[value]))
 
 
-def percentiles(rows: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
-    """Linearly interpolated percentiles, one column p<percent> each."""
-    return rows.groupBy(*by).agg(*[F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{round(p * 100):02d}") for p in points])
+def percentiles(rows: DataFrame, value: str, points: list[float], *by: str, extremes: bool = False) -> DataFrame:
+    """Linearly interpolated percentiles, one column p<percent> each, and min and max on request."""
+    ends = [F.min(value).alias("min"), F.max(value).alias("max")] if extremes else []
+    return rows.groupBy(*by).agg(*[F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{round(p * 100):02d}") for p in points], *ends)
 
 
 def truncation_sweep(lengths: DataFrame, value: str, caps: list[int]) -> DataFrame:

@@ -101,8 +101,7 @@ def audit_by_source(spark, d):
     CAST(max(token_count) FILTER (issues = '') AS INT) AS tokens_max, round(avg(token_count) FILTER (issues = ''), 6) AS tokens_mean FROM audited"""
 )
 def audit_manifest(spark, d):
-    m = provenance.audit_manifest(audited(spark, d))
-    return m.select("rows", "accepted", "rejected", "tokens_count", *[F.col(f"tokens_{c}").cast("int").alias(f"tokens_{c}") for c in ("min", "p50", "p95", "p99", "max")], "tokens_mean")
+    return provenance.audit_manifest(audited(spark, d))
 
 
 @query(

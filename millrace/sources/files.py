@@ -130,9 +130,9 @@ def json_object(path: str | Path) -> dict:
 def task_list(spark: SparkSession, path: str) -> list[str]:
     """Trimmed lines without blanks and comments; an empty list raises. A task list is small."""
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v != '' and not startswith(v, '#')")
-    out = [r.v for r in lines.limit(100_000).collect()]
-    if not out:
-        raise SourceError(f"{path} lists no tasks")
+    out = [r.v for r in lines.limit(100_001).collect()]
+    if not out or len(out) > 100_000:
+        raise SourceError(f"{path} must list between one and 100,000 tasks")
     return out
 
 

@@ -162,6 +162,23 @@ def pack(rows: DataFrame, capacity: int = 1024, part_items: int = 20_000, rounds
     return out.select(sequence.alias("sequence_id"), "position", *_KEYS, "piece_length")
 
 
+def materialize(rows: DataFrame, placed: DataFrame, capacity: int = 1024, pad: int = 0) -> DataFrame:
+    """sequence_id, input_ids, labels, segments: the sequences themselves, padded to the capacity.
+
+    segments numbers the pieces of a sequence from 1; padding has 0. The first position of every
+    piece is ignored in the labels, since no piece predicts the next one's start.
+    """
+    content = rows.where(reason().isNull()).select("sample_id", F.xxhash64("recorded_at", "input_ids", "labels").alias("variant"), "input_ids", "labels")
+    content = content.groupBy("sample_id", "variant").agg(F.any_value("input_ids").alias("ids"), F.any_value("labels").alias("labels"))
+    start, size = F.col("piece_start") + 1, F.col("piece_length")
+    masked = F.transform(F.slice("labels", start, size), lambda x, i: F.when(i == 0, IGNORED).otherwise(x))
+    pieces = placed.join(content, ["sample_id", "variant"]).select("sequence_id", F.struct("position", F.slice("ids", start, size).alias("ids"), masked.alias("labels")).alias("piece"))
+    grouped = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list("piece")).alias("p"))  # at most capacity ids
+    fill = lambda c, x: F.concat(c, F.array_repeat(F.lit(x), F.lit(capacity) - F.size(c)))
+    numbered = F.flatten(F.transform("p", lambda x, i: F.array_repeat(i + 1, F.size(x["ids"]))))
+    return grouped.select("sequence_id", fill(F.flatten("p.ids"), pad).alias("input_ids"), fill(F.flatten("p.labels"), IGNORED).alias("labels"), fill(numbered, 0).alias("segments"))
+
+
 def pack_report(rows: DataFrame, placed: DataFrame, capacity: int = 1024) -> DataFrame:
     """One row: pieces, sequences, certified lower bound, unused share."""
     lengths = placed.groupBy("piece_length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows

@@ -86,6 +86,12 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "train"))
 
 
+def p7_training_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The packed sequences with their ids, labels and segment numbers."""
+    train = table(spark, d, "train")
+    return packing.materialize(train, packing.pack(train))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     train = table(spark, d, "train")
     return packing.pack_report(train, packing.pack(train))

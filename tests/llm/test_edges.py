@@ -121,6 +121,19 @@ def test_packing(spark):
     assert sorted(r.copy for r in hot) == list(range(1, 26))
 
 
+def test_materialized_sequences(spark):
+    rng = random.Random(3)
+    rows = [(f"k{i}", [i * 100 + j for j in range(n)], [-100] + [j for j in range(1, n)], None, 1, 2) for i, n in enumerate(rng.choice([2, 3, 5, 8, 23]) for _ in range(40))]
+    df = _records(spark, [*rows, rows[0]])
+    placed = packing.pack(df, capacity=10, part_items=15)
+    out = packing.materialize(df, placed, capacity=10, pad=-1).collect()
+    assert all(len(r.input_ids) == len(r.labels) == len(r.segments) == 10 for r in out)
+    assert sorted(x for r in out for x in r.input_ids if x != -1) == sorted([x for r in rows for x in r[1]] + rows[0][1])
+    for r in out:
+        for x, y, s in zip(r.input_ids, r.labels, r.segments):
+            assert (s == 0) == (x == -1) and (y == -100 or y == x % 100)
+
+
 def test_automaton_is_exact_and_minimal(tmp_path):
     rng = random.Random(4)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 8))) for _ in range(400)} | {b"ing", b"king", b"sing", b"a", b""[:0] or b"b"}

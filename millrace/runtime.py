@@ -41,10 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a durable lineage cut.
 
-    The files survive the loss of any executor; the name is made unique per call.
+    The files survive the loss of any executor; the name is made unique per call. They stay
+    until release(), since results read them lazily.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -52,18 +56,19 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+def release(spark: SparkSession) -> int:
+    """Delete the tables that written() made in this process; call it once results are consumed."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for root in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if root.startswith(shared_folder(spark).replace("file://", "file:")) or root.startswith(shared_folder(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
+    count = len(_tables)
+    while _tables:
+        path = fs_path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ def spark():
     session = runtime.session("local[4]", 4, **{"spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    runtime.release(session)
 
 
 @pytest.fixture(scope="session")

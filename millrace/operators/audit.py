@@ -111,22 +111,23 @@ def first_wins(rows: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
     return rows.join(firsts, key, "left")
 
 
-def audit(rows: DataFrame, suites: DataFrame, settings: AuditSettings, tokens: Column, strict: bool = False) -> DataFrame:
+def audit(rows: DataFrame, suites: DataFrame, settings: AuditSettings, tokens: Column, strict: bool = False, token_error: Column | None = None) -> DataFrame:
     """row_index, sample_id, source, token_count, issues, accepted: one row per input row.
 
-    tokens gives the length of the row's rendered conversation.
+    tokens gives the length of the row's rendered conversation, token_error the message of a
+    failed rendering or null; both are evaluated for eligible rows only.
     """
     issue = generation_issue()
     shaped = rows.withColumn("shape", shape_issues()).withColumn("issue", F.when(F.size("shape") == 0, issue))
     shaped = shaped.withColumn("eligible", (F.size("shape") == 0) & F.col("issue").isNull())
-    keyed = shaped.withColumn("sample_id", F.when(F.col("eligible"), problem_hash(F.col("problem"), strict))).withColumn("token_count", F.when(F.col("eligible"), tokens))
+    keyed = shaped.withColumn("sample_id", F.when(F.col("eligible"), problem_hash(F.col("problem"), strict))).withColumn("token_count", F.when(F.col("eligible"), tokens)).withColumn("token_error", F.when(F.col("eligible"), F.lit(None).cast("string") if token_error is None else token_error))
     reasons = contamination(keyed.where("eligible"), suites, "row_index", "problem", settings.ngram, strict)
     joined = keyed.join(reasons, "row_index", "left")
     fits = F.col("token_count") <= settings.max_tokens
-    ok = F.col("eligible") & F.col("reasons").isNull() & fits
+    ok = F.col("eligible") & F.col("reasons").isNull() & F.col("token_error").isNull() & fits
     scanned = joined.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("fits", fits)
     # The scan stage is written: what follows is a pure function of it and can be resumed from it.
-    scanned = runtime.written(scanned.select("row_index", "sample_id", "source", "token_count", "shape", "issue", "reasons", "fits", "ok"), "audit-scan")
+    scanned = runtime.written(scanned.select("row_index", "sample_id", "source", "token_count", "shape", "issue", "reasons", "token_error", "fits", "ok"), "audit-scan")
     return finish(scanned)
 
 
@@ -138,6 +139,7 @@ def finish(scanned: DataFrame) -> DataFrame:
         .when(F.col("issue").isNotNull(), F.array("issue"))
         .when(F.col("row_index") > F.col("first_ok"), F.array(F.lit("duplicate_problem")))
         .when(F.col("reasons").isNotNull(), F.col("reasons"))
+        .when(F.col("token_error").isNotNull(), F.array(F.concat(F.lit("tokenization_error:"), "token_error")))
         .when(~F.col("fits"), F.array(F.lit("over_max_length")))
         .otherwise(F.array().cast("array<string>"))
     )

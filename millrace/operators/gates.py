@@ -101,3 +101,16 @@ def preflight(events: DataFrame) -> DataFrame:
     agg = events.where("optimizer_step <= 1000").agg(of("train").alias("train_steps"), of("validation").alias("validation_steps"), F.bool_and(finite).alias("finite"))
     ok = (F.col("train_steps") == F.array(*[F.lit(x).cast("bigint") for x in (1, 2)])) & (F.col("validation_steps") == F.array(*[F.lit(x).cast("bigint") for x in (0, 1, 2)])) & F.col("finite")
     return agg.withColumn("passed", F.coalesce(ok, F.lit(False)))
+
+
+def gate_report(checks: dict[str, tuple[bool, object]]) -> dict:
+    """Named checks with their evidence; passed only if all passed."""
+    listed = [{"name": n, "passed": bool(ok), "evidence": evidence} for n, (ok, evidence) in checks.items()]
+    return {"checks": listed, "passed": all(c["passed"] for c in listed)}
+
+
+def reproducible(first: dict, second: dict, fields: list[str], expected_rows: int | None = None) -> dict:
+    """Two audit manifests must agree in the deterministic fields, over the full frozen scan."""
+    wrong = field_difference(first, second, fields)
+    full = expected_rows is None or first.get("rows") == expected_rows
+    return gate_report({"same_manifest": (not wrong, wrong), "full_scan": (full, first.get("rows"))})

@@ -145,3 +145,42 @@ def stratum_counts(rows: DataFrame, strata: list[str]) -> DataFrame:
 
 def all_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
+
+
+def prediction_text(predictions: Column) -> Column:
+    """The only element of a prediction list; any other size raises."""
+    return F.when(F.size(predictions) == 1, F.get(predictions, F.lit(0))).otherwise(F.raise_error("a prediction must be a list of one string").cast("string"))
+
+
+def generated_length(nested: Column) -> Column:
+    """Length of the only non-empty token list of a nested list; several or none raise."""
+    leaves = F.filter(nested, lambda x: F.size(x) > 0)
+    return F.when(F.size(leaves) == 1, F.size(F.get(leaves, F.lit(0)))).otherwise(F.raise_error("exactly one token list is expected").cast("int"))
+
+
+def leaf_lengths(rows: DataFrame, nested: str, *keep: str) -> DataFrame:
+    """One row per non-empty token list of a nested list."""
+    return rows.select(*keep, F.explode(nested).alias("_leaf")).select(*keep, F.size("_leaf").alias("length")).where("length > 0")
+
+
+def trained_details(rows: DataFrame, length: str, cap: int, correct: str, marker: str, truncated: str, padded: str, *by: str) -> DataFrame:
+    """Generated lengths, cap hits, their agreement with missing markers, and truncation or padding."""
+    n, hit = F.col(length), F.col(length) >= cap
+    some = lambda c: F.exists(F.coalesce(F.col(c), F.array().cast("array<boolean>")), lambda x: F.coalesce(x, F.lit(False)))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(n).alias("min"), F.round(F.avg(n), 6).alias("mean"), F.percentile(length, F.lit(0.5)).alias("median"), F.max(n).alias("max"), F.count_if(hit).alias("cap_hits"),
+        F.count_if(hit & ~F.col(correct)).alias("cap_hits_wrong"), F.count_if(~F.col(marker)).alias("missing_marker"), F.bool_and(hit == ~F.col(marker)).alias("cap_hit_is_missing_marker"),
+        F.count_if(some(truncated)).alias("any_truncated"), F.count_if(some(padded)).alias("any_padded"),
+    )
+
+
+def masked_loss(rows: DataFrame, logprobs: str, labels: str, *by: str) -> DataFrame:
+    """Loss sum, counted tokens and mean over shifted labels that are not ignored.
+
+    logprobs[i] is the log probability of labels[i + 1]; a group without a counted token raises.
+    """
+    pairs = F.arrays_zip(F.col(logprobs).alias("lp"), F.slice(labels, 2, F.greatest(F.size(labels), F.lit(1))).alias("y"))
+    kept = F.filter(pairs, lambda p: p["y"].isNotNull() & (p["y"] != -100))
+    each = rows.select(*by, F.aggregate(kept, F.lit(0.0), lambda a, p: a - p["lp"]).alias("_s"), F.size(kept).alias("_n"))
+    agg = each.groupBy(*by).agg(F.sum("_s").alias("loss_sum"), F.sum("_n").alias("valid_tokens"))
+    return agg.withColumn("mean_loss", F.when(F.col("valid_tokens") > 0, F.col("loss_sum") / F.col("valid_tokens")).otherwise(F.raise_error("no supervised token").cast("double")))

@@ -141,3 +141,19 @@ def checkpoint_number(name: str) -> int | None:
     return int(m[1]) if m else None
 
 
+
+
+def start_run(folder: str, config, artifacts: dict[str, str]) -> dict:
+    """A new run's manifest: configuration, its hash, the inputs' hashes; a filled folder is refused."""
+    files.refuse_overwrite(folder)
+    manifest = {"status": "running", "started_at": utc_now(), "config": dataclasses.asdict(config), "config_sha256": config_hash(config), "artifacts": {n: file_sha256(p) for n, p in sorted(artifacts.items())}}
+    files.write_json_atomic(f"{folder}/run_manifest.json", manifest)
+    return manifest
+
+
+def same_identity(manifest: dict, config, artifacts: dict[str, str]) -> None:
+    """A run resumes only with its own configuration and unchanged inputs."""
+    now = {"config_sha256": config_hash(config), "artifacts": {n: file_sha256(p) for n, p in sorted(artifacts.items())}}
+    wrong = [k for k, v in now.items() if manifest.get(k) != v]
+    if wrong:
+        raise ValueError(f"the run changed in: {', '.join(wrong)}")

@@ -279,3 +279,23 @@ def guard_streaming(spark, d):
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("run string, optimizer_step bigint, reason string").parquet(out)
+
+
+@query(
+    """WITH g AS (SELECT source, generated_tokens AS n, coalesce(contains(output, 'boxed'), false) AS boxed, coalesce(generated_eos, false) AS eos FROM generation_health_2048_records WHERE generated_tokens IS NOT NULL)
+    SELECT source, count(*) AS rows, min(n) AS min, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, max(n) AS max, count(*) FILTER (n >= 2048) AS cap_hits, count(*) FILTER (n >= 2048 AND NOT eos) AS cap_hits_wrong,
+    count(*) FILTER (NOT boxed) AS missing_marker, bool_and((n >= 2048) = (NOT boxed)) AS cap_hit_is_missing_marker, count(*) FILTER (NOT eos) AS any_truncated, count(*) FILTER (eos) AS any_padded FROM g GROUP BY source"""
+)
+def trained_details(spark, d):
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    eos = yes(F.col("generated_eos"))
+    g = table(spark, d, _G).where("generated_tokens is not null").select("source", F.col("generated_tokens").alias("n"), yes(F.contains("output", F.lit("boxed"))).alias("boxed"), eos.alias("eos"), F.array(~eos).alias("cut"), F.array(eos).alias("padded"))
+    return paired.trained_details(g, "n", 2048, "eos", "boxed", "cut", "padded", "source")
+
+
+@query("SELECT row_number() OVER (ORDER BY record_id) AS position, record_id FROM generation_health_2048_records")
+def sample_order(spark, d):
+    """Order export: the position of every record."""
+    from millrace.operators import shaping
+
+    return shaping.global_positions(table(spark, d, _G).select("record_id"), [F.col("record_id")]).select((F.col("position") + 1).alias("position"), "record_id")

@@ -218,3 +218,48 @@ def render_value(value) -> str:
     if isinstance(value, float) and not math.isfinite(value):
         raise ValueError("values must be finite")
     return str(value)
+
+
+def write_splits(rows: DataFrame, folder: str, order: list[str], split: str = "split") -> None:
+    """One directory per split; rows of a file are in order, and files are ranges of it."""
+    rows.repartitionByRange(split, *order).sortWithinPartitions(split, *order).write.partitionBy(split).mode("errorifexists").json(folder)
+
+
+def export_changes(rows: DataFrame, summary: dict, folder: str) -> None:
+    """Changed rows as JSON lines and their summary beside them; a filled folder is refused."""
+    refuse_overwrite(folder)
+    write_json_lines(rows, f"{folder}/changed_rows")
+    write_json_atomic(f"{folder}/summary.json", summary)
+
+
+def loss_records(spark: SparkSession, path: str) -> DataFrame:
+    """Per-record losses: unique non-empty sample ids with a numeric mean_nll, in at least one row."""
+    rows = json_lines_strict(spark, path, "sample_id string, mean_nll double, loss_sum double, valid_tokens bigint", ["sample_id", "mean_nll"])
+    return unique_keys(rows, "sample_id")
+
+
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts with an id and a non-blank text; anything else raises."""
+    rows = json_lines_strict(spark, path, "id string, prompt string", ["id", "prompt"])
+    if rows.where("trim(id) = '' or trim(prompt) = ''").limit(1).count():
+        raise SourceError(f"{path}: blank id or prompt")
+    return unique_keys(rows, "id")
+
+
+def suite_problems(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """suite, problem over evaluation tables, each with the field that holds its question."""
+    out = None
+    for suite, (df, field) in sorted(tables.items()):
+        part = df.select(F.lit(suite).alias("suite"), F.col(field).cast("string").alias("problem"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise SourceError("no evaluation suites")
+    return out
+
+
+def metric_events(spark: SparkSession, path: str, event: str = "train") -> DataFrame:
+    """Replay of a metric log: the events of one kind; a missing log has none."""
+    schema = "run string, event string, optimizer_step bigint, mean_loss double, valid_tokens bigint, grad_norm double, learning_rate double, recorded_at timestamp"
+    if not Path(path).exists():
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path).where(F.col("event") == event)

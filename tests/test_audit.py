@@ -64,6 +64,13 @@ def test_long_rows_do_not_claim_the_key(spark):
     assert issues(run(spark, rows, tokens=tokens, max_tokens=50)) == {0: ["over_max_length"], 1: [], 2: ["duplicate_problem"]}
 
 
+def test_tokenization_errors_do_not_claim_the_key(spark):
+    rows = [row(0, "same problem"), row(1, "same problem")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = audit.audit(df, spark.createDataFrame([], "suite string, problem string"), audit.AuditSettings(), F.lit(5), token_error=F.when(F.col("row_index") == 0, "prompt is no prefix"))
+    assert issues(got) == {0: ["tokenization_error:prompt is no prefix"], 1: []}
+
+
 def test_dedup_against_a_sequential_loop(spark):
     import random
 
@@ -111,7 +118,7 @@ def test_hash_split_ties_and_sizes(spark):
 
 def test_recovery_equals_a_fresh_run(spark, tmp_path):
     df = run(spark, [row(0, "a"), row(1, "a"), row(2, "b", verified=False)])
-    scanned = spark.createDataFrame([(0, "h", "s", 5, [], None, None, True, True), (1, "h", "s", 5, [], None, None, True, True), (2, None, "s", None, [], "math_verify_failed", None, None, False)], "row_index bigint, sample_id string, source string, token_count int, shape array<string>, issue string, reasons array<string>, fits boolean, ok boolean")
+    scanned = spark.createDataFrame([(0, "h", "s", 5, [], None, None, None, True, True), (1, "h", "s", 5, [], None, None, None, True, True), (2, None, "s", None, [], "math_verify_failed", None, None, None, False)], "row_index bigint, sample_id string, source string, token_count int, shape array<string>, issue string, reasons array<string>, token_error string, fits boolean, ok boolean")
     assert issues(audit.finish(scanned)) == issues(df)
 
 

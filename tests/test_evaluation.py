@@ -179,3 +179,38 @@ def test_positions_do_not_depend_on_partitioning(spark):
     order = [shaping.epoch_order(F.col("k"), 1, 0), F.col("v")]
     a, b = ({r.v: r.position for r in shaping.global_positions(x, order, partitions=p).collect()} for x, p in ((df, 3), (df.repartition(6), 8)))
     assert a == b and sorted(a.values()) == list(range(100))
+
+
+def test_predictions_and_nested_tokens(spark):
+    df = spark.createDataFrame([(["a"], [[], [1, 2, 3]], [False, True], None)], "p array<string>, t array<array<int>>, cut array<boolean>, padded array<boolean>")
+    assert df.select(paired.prediction_text(F.col("p")), paired.generated_length(F.col("t"))).first() == ("a", 3)
+    assert [r.length for r in paired.leaf_lengths(df, "t").collect()] == [3]
+    for p, t in ((["a", "b"], [[1]]), ([], [[1]])):
+        with pytest.raises(Exception, match="list of one string"):
+            spark.createDataFrame([(p, t)], "p array<string>, t array<array<int>>").select(paired.prediction_text(F.col("p"))).collect()
+    with pytest.raises(Exception, match="exactly one"):
+        spark.createDataFrame([([[1], [2]],)], "t array<array<int>>").select(paired.generated_length(F.col("t"))).collect()
+    rows = df.select(paired.generated_length(F.col("t")).alias("n"), F.lit(False).alias("ok"), F.lit(False).alias("marker"), "cut", "padded")
+    r = paired.trained_details(rows, "n", 3, "ok", "marker", "cut", "padded").first()
+    assert (r.cap_hits, r.cap_hits_wrong, r.missing_marker, r.cap_hit_is_missing_marker, r.any_truncated, r.any_padded) == (1, 1, 1, True, 1, 0)
+
+
+def test_masked_loss(spark):
+    df = spark.createDataFrame([("a", [-1.0, -2.0, -4.0], [-100, -100, 5, 6])], "k string, lp array<double>, y array<int>")
+    r = paired.masked_loss(df, "lp", "y", "k").first()
+    assert (r.loss_sum, r.valid_tokens, r.mean_loss) == (6.0, 2, 3.0)
+    with pytest.raises(Exception, match="no supervised token"):
+        paired.masked_loss(df.withColumn("y", F.transform("y", lambda x: F.lit(-100))), "lp", "y", "k").collect()
+
+
+def test_gate_reports():
+    assert gates.reproducible({"rows": 3, "a": 1}, {"rows": 3, "a": 1}, ["rows", "a"], 3)["passed"]
+    bad = gates.reproducible({"rows": 3, "a": 1}, {"rows": 3, "a": 2}, ["rows", "a"], 4)
+    assert not bad["passed"] and [c["passed"] for c in bad["checks"]] == [False, False]
+
+
+def test_preflight(spark):
+    rows = [("train", 1, 2.0), ("train", 2, 1.0), ("validation", 0, 2.0), ("validation", 1, 2.0), ("validation", 2, 1.0)]
+    df = spark.createDataFrame(rows, "event string, optimizer_step bigint, mean_loss double")
+    assert gates.preflight(df).first().passed and not gates.preflight(df.where("optimizer_step < 2")).first().passed
+    assert not gates.preflight(df.withColumn("mean_loss", F.lit(float("nan")))).first().passed

@@ -139,3 +139,47 @@ def test_decisions(spark):
     merged = provenance.upsert_decisions(d((0, "A", "me", "h0", "flag"), (1, "A", "me", "h1", "agree")), d((0, "A", "me", "h0", "keep")))
     assert {r.review_index: r.verdict for r in merged.collect()} == {0: "keep", 1: "agree"}
     assert bundle.select(F.length(provenance.record_hash(bundle.columns))).first()[0] == 64
+
+
+def test_record_sources(spark, tmp_path):
+    good = lines(tmp_path / "n.jsonl", '{"sample_id": "a", "mean_nll": 1.5}', '{"sample_id": "b", "mean_nll": 0.5}')
+    assert files.loss_records(spark, good).count() == 2
+    for bad in ('{"sample_id": "a"}', '{"sample_id": "a", "mean_nll": "x"}'):
+        with pytest.raises(files.SourceError):
+            files.loss_records(spark, lines(tmp_path / f"n{len(bad)}.jsonl", bad))
+    assert files.prompts(spark, lines(tmp_path / "p.jsonl", '{"id": "1", "prompt": "q"}')).count() == 1
+    with pytest.raises(files.SourceError, match="blank"):
+        files.prompts(spark, lines(tmp_path / "q.jsonl", '{"id": "1", "prompt": " "}'))
+    df = spark.createDataFrame([("x", 1)], "question string, n int")
+    assert {tuple(r) for r in files.suite_problems({"a": (df, "question"), "b": (df, "n")}).collect()} == {("a", "x"), ("b", "1")}
+    assert files.metric_events(spark, str(tmp_path / "none")).count() == 0
+    log = lines(tmp_path / "log.jsonl", '{"event": "train", "optimizer_step": 1}', '{"event": "validation", "optimizer_step": 1}')
+    assert files.metric_events(spark, log).count() == 1
+
+
+def test_split_and_change_exports(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", "train" if i % 4 else "validation", i) for i in range(20)], "split_key string, split string, n int")
+    files.write_splits(df, str(tmp_path / "s"), ["split_key"])
+    back = spark.read.json(str(tmp_path / "s"))
+    assert back.where("split = 'validation'").count() == 5 and back.count() == 20
+    files.export_changes(df.where("n = 1"), {"changed": 1}, str(tmp_path / "c"))
+    assert files.json_object(tmp_path / "c/summary.json") == {"changed": 1}
+
+
+def test_run_identity(tmp_path):
+    (tmp_path / "a").write_text("x")
+    m = provenance.start_run(str(tmp_path / "run"), Config(), {"a": str(tmp_path / "a")})
+    provenance.same_identity(m, Config(resume_from="x"), {"a": str(tmp_path / "a")})
+    (tmp_path / "a").write_text("y")
+    with pytest.raises(ValueError, match="artifacts"):
+        provenance.same_identity(m, Config(), {"a": str(tmp_path / "a")})
+
+
+def test_exactly_once(spark, tmp_path):
+    from millrace.streaming.exactly_once import consume
+
+    for _ in range(2):
+        spark.range(5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+        consume(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10

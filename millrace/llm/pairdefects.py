@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import linear
-from millrace.llm.ending import cut, ending_features, says_nothing, without_markers
+from millrace.llm.ending import clearly_cut, cut, ending_features, says_nothing, think_state, without_markers
 from millrace.operators import sampling
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "other_language"]
@@ -154,6 +154,7 @@ def features(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]
         extra = len(words) - sum(n for w, n in have.items() if w in want)
         cover = shared / len(asked)
         out += [f"c:inside={_step(inside, 20)}", f"c:cover={_step(cover)}", f"c:both={_step(inside)},{_step(cover, 5)}", f"c:extra={min(extra, 16).bit_length()},{_step(cover, 5)}"]
+        out.append(f"c:end={cover > 0.95},{inside > 0.9},{think_state(answer)},{'mark' if plain.rstrip()[-1:] in '.!?。！？' else 'none'}")
         out.append(f"c:all={inside > 0.85},{cover > 0.85},{min(len(words), 9) > 8},{extra <= 6}")
     told = not digits and not result and bool(body_words)
     out.append(f"b:told={told},{body.rstrip()[-1:] in '.!?。！？'},{bool(asked) and cover < 0.5}")
@@ -224,6 +225,12 @@ def synthetic(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[int,
         for _ in range(2):
             if c := cut(a, rng):
                 out.append((k, q, c, 1))
+        if q and len(q) > 20 and rng.random() < 0.2:  # cut in or soon after a repeated question
+            lead = rng.choice(_INTROS) + q
+            at = rng.randrange(len(lead) // 2, len(lead) + 80)
+            head = f"{lead}\n\n{a}"[:at].rstrip()
+            if at < len(lead) - 3 or at > len(lead) + 3 and (clearly_cut(head) or head[-1:].isalnum()):
+                out.append((k, q, head + rng.choice(("", "", "...")), 1))
         asked = _language(read(q)[1]) if q else ""
         tongues = [asked or "en"] + ([rng.choice(list(_REFUSALS))] if rng.random() < 0.3 else [])
         for say in [refusal(x, rng, q) for x in tongues]:

@@ -187,7 +187,7 @@ def lookalike_pairs(forms: DataFrame) -> DataFrame:
     Different texts of one form are paired first, copies collapsed; each pair of texts then
     meets its documents. Copies of one text are never compared with each other.
     """
-    keyed = forms.where("trim(canonical) != ''").select("id", "raw_key", F.unhex(F.sha2("canonical", 256)).alias("key"))
+    keyed = forms.where(F.col("canonical").rlike(r"[^\p{IsWhite_Space}]")).select("id", "raw_key", F.unhex(F.sha2("canonical", 256)).alias("key"))
     texts = keyed.select("key", "raw_key").distinct()
     several = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     texts = texts.join(several, "key", "left_semi")

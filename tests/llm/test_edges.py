@@ -193,7 +193,7 @@ def test_lookalike(spark):
     same = ["The cat ﬁnds café-X", "Тhe сat finds café‐X", "Ｔhe cat fi​nds café‑X"]
     apart = ["the cat finds café-X", "The cat finds cafe-X", "The  cat finds café-X", "The cat finds café–X", "x2", "x²"]
     russian = ["Торговец из Loukeburg покупает 9 с а", "Topговец из Loukeburg покупает 9 с a"]
-    texts = [*same, *apart, *russian, None, "", "   ", same[0], LONG]
+    texts = [*same, *apart, *russian, None, "", "   ", same[0], LONG, "\n\t", "\n" + chr(0x200B) + "\t"]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").selectExpr("*", "1 as canonical", "2 as raw_key")
     forms = lookalike.one_form(df, "id", "text")
     form = {r.id: r.canonical for r in forms.collect()}

@@ -62,11 +62,16 @@ LEDGER_RATE = 0.1
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Two rounds: the first on an earlier snapshot, written as the ledger, the second on all rows."""
-    train = table(spark, d, "train")
-    first = ledger.grow(ledger.two_deliveries(train, "recorded_at"), None, LEDGER_RATE)
-    kept = runtime.written(first, "ledger")
-    return ledger.grow(train, kept, LEDGER_RATE).select(F.col("key").alias("sample_id"), F.col("priority"), F.col("round").cast("bigint").alias("round"))
+    """The ledger kept from earlier calls, grown to the quota of all rows, and kept again.
+
+    Where none is kept, two rounds: the first on an earlier snapshot, the second on all rows.
+    """
+    train, path = table(spark, d, "train"), f"{d}/train.parquet"
+    earlier = ledger.load(train, "p5_sample", path)
+    if earlier is None:
+        earlier = runtime.written(ledger.grow(ledger.two_deliveries(train, "recorded_at"), None, LEDGER_RATE), "ledger")
+    kept = ledger.save(ledger.grow(train, earlier, LEDGER_RATE), "p5_sample", path)
+    return kept.select(F.col("key").alias("sample_id"), F.col("priority"), F.col("round").cast("bigint").alias("round"))
 
 
 def _truncation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -52,6 +52,11 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, " ")).otherwise(F.array().cast("array<string>"))
 
 
+def blank_separated(text: Column) -> Column:
+    """Number of words between blanks, all of Unicode's as in Python's split."""
+    return F.size(F.filter(F.split(text, r"[\p{IsWhite_Space}\x1c-\x1f]+"), lambda w: w != ""))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -93,6 +93,8 @@ def contamination(rows: DataFrame, suites: DataFrame, key: str, text: str, ngram
     norm = tx.normalized_strict if strict else tx.normalized_portable
     base = rows.select(F.col(key).alias("k"), norm(F.col(text)).alias("norm")).where("norm is not null")
     suite = suites.select("suite", norm(F.col("problem")).alias("norm")).where("norm is not null")
+    if strict:  # the reference leaves out blank items
+        suite = suite.where("norm != ''")
     exact = base.join(suite.distinct(), "norm").groupBy("k").agg(F.sort_array(F.collect_set(F.concat(F.lit("evaluation_exact_match:"), "suite"))).alias("reasons"))
     gram = lambda df, *keep: df.select(*keep, F.explode(tx.ngrams(tx.split_words(F.col("norm")), ngram)).alias("gram"))
     reason = F.concat(F.lit(f"evaluation_{ngram}gram_overlap:"), F.col("suite"))

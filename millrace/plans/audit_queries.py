@@ -3,6 +3,10 @@
 The review table plays the source rows: its problem and generation are the messages, and its
 issues say whether verification and reasoning passed. eval_suites plays the evaluation suites.
 Token counts are blank-separated words of the generation.
+
+Queries ending in _strict do the whole job with the reference's normal form (NFKC, case folding,
+Unicode blanks), which SQL cannot express. Those of the same name without the ending run on the
+portable form, so that SQL can check the plan; they miss what only the strict form makes equal.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ def source_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def audited(spark: SparkSession, d: str) -> DataFrame:
+def audited(spark: SparkSession, d: str, strict: bool = False) -> DataFrame:
     generation = F.get(F.col("generations"), F.lit(0))
-    tokens = F.size(tx.split_words(tx.normalized_portable(generation)))
-    return audit.audit(source_rows(spark, d), table(spark, d, "eval_suites"), SETTINGS, tokens)
+    tokens = tx.blank_separated(generation) if strict else F.size(tx.split_words(tx.normalized_portable(generation)))
+    return audit.audit(source_rows(spark, d), table(spark, d, "eval_suites"), SETTINGS, tokens, strict)
 
 
 _SUITE = f"suite AS (SELECT DISTINCT suite, {_NORM.format('problem')} AS norm FROM eval_suites WHERE problem IS NOT NULL)"
@@ -80,7 +84,16 @@ audited AS (
 @query(_AUDIT + "SELECT row_index, sample_id, source, CAST(token_count AS BIGINT) AS token_count, issues FROM audited")
 def audit_rows(spark, d):
     """Every source row with its issues."""
-    return audited(spark, d).select("row_index", "sample_id", "source", F.col("token_count").cast("bigint").alias("token_count"), F.array_join("issues", ",").alias("issues"))
+    return _audit_rows(audited(spark, d))
+
+
+@query()
+def audit_rows_strict(spark, d):
+    return _audit_rows(audited(spark, d, strict=True))
+
+
+def _audit_rows(rows):
+    return rows.select("row_index", "sample_id", "source", F.col("token_count").cast("bigint").alias("token_count"), F.array_join("issues", ",").alias("issues"))
 
 
 @query(_AUDIT + "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(issues, ',')) AS reason FROM audited WHERE issues <> '') GROUP BY reason")
@@ -88,9 +101,23 @@ def reason_counts(spark, d):
     return audit.reason_counts(audited(spark, d))
 
 
+@query()
+def reason_counts_strict(spark, d):
+    return audit.reason_counts(audited(spark, d, strict=True))
+
+
 @query(_AUDIT + "SELECT source, count(*) AS n, count(*) FILTER (issues = '') AS accepted FROM audited GROUP BY source")
 def audit_by_source(spark, d):
-    return audited(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("accepted"))
+    return _by_source(audited(spark, d))
+
+
+@query()
+def audit_by_source_strict(spark, d):
+    return _by_source(audited(spark, d, strict=True))
+
+
+def _by_source(rows):
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("accepted"))
 
 
 @query(
@@ -104,6 +131,11 @@ def audit_manifest(spark, d):
     return provenance.audit_manifest(audited(spark, d))
 
 
+@query()
+def audit_manifest_strict(spark, d):
+    return provenance.audit_manifest(audited(spark, d, strict=True))
+
+
 @query(
     _AUDIT
     + """, keyed AS (SELECT *, sha256(concat_ws(':', 'independent-sft-v1', 'review', coalesce(sample_id, 'missing'), CAST(row_index AS VARCHAR))) AS review_key FROM audited),
@@ -116,13 +148,27 @@ def review_topk_per_reason(spark, d):
     return audit.review_sample(audited(spark, d), SETTINGS).select("section", "reason", "rank", "row_index")
 
 
+@query()
+def review_topk_per_reason_strict(spark, d):
+    return audit.review_sample(audited(spark, d, strict=True), SETTINGS).select("section", "reason", "rank", "row_index")
+
+
 @query(
     _AUDIT
     + """, keyed AS (SELECT sample_id, sha256('independent-sft-v1:' || sample_id) AS split_key FROM audited WHERE issues = '')
     SELECT sample_id, CASE WHEN row_number() OVER (ORDER BY split_key, sample_id) <= 100 THEN 'validation' ELSE 'train' END AS split FROM keyed"""
 )
 def audit_split(spark, d):
-    accepted = audited(spark, d).where("accepted").select("sample_id")
+    return _split(audited(spark, d))
+
+
+@query()
+def audit_split_strict(spark, d):
+    return _split(audited(spark, d, strict=True))
+
+
+def _split(rows):
+    accepted = rows.where("accepted").select("sample_id")
     return audit.hash_split(accepted, "sample_id", SETTINGS.salt, SETTINGS.validation_size).select("sample_id", "split")
 
 
@@ -150,26 +196,50 @@ _DOCS = f"docs AS (SELECT doc_id, sha256({_NORM.format('text')}) AS h FROM docum
 
 @query(f"WITH {_DOCS} SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first_id, doc_id > min(doc_id) OVER (PARTITION BY h) AS duplicate FROM docs")
 def dedup_first_wins(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", audit.problem_hash(F.col("text")).alias("h"))
+    return _dedup(spark, d)
+
+
+@query()
+def dedup_first_wins_strict(spark, d):
+    return _dedup(spark, d, strict=True)
+
+
+def _dedup(spark, d, strict=False):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", audit.problem_hash(F.col("text"), strict).alias("h"))
     return audit.first_wins(docs, "h", "doc_id", F.lit(True)).select("doc_id", F.col("first_ok").alias("first_id"), (F.col("doc_id") > F.col("first_ok")).alias("duplicate"))
 
 
 @query(f"WITH {_DOCS} SELECT h AS problem_hash, count(*) AS n FROM docs GROUP BY h HAVING count(*) > 1")
 def duplicate_groups(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select(audit.problem_hash(F.col("text")).alias("problem_hash"))
+    return _groups(spark, d)
+
+
+@query()
+def duplicate_groups_strict(spark, d):
+    return _groups(spark, d, strict=True)
+
+
+def _groups(spark, d, strict=False):
+    docs = table(spark, d, "documents").where("text is not null").select(audit.problem_hash(F.col("text"), strict).alias("problem_hash"))
     return docs.groupBy("problem_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 _ROWS = f"rel AS (SELECT review_index, {_NORM.format('problem')} AS norm FROM review_samples WHERE problem IS NOT NULL)"
 
 
-def _contamination(spark, d):
-    return audit.contamination(table(spark, d, "review_samples"), table(spark, d, "eval_suites"), "review_index", "problem")
+def _contamination(spark, d, kind="", strict=False):
+    found = audit.contamination(table(spark, d, "review_samples"), table(spark, d, "eval_suites"), "review_index", "problem", strict=strict)
+    return found.select("review_index", F.explode("reasons").alias("reason")).where(F.col("reason").startswith(f"evaluation_{kind}"))
 
 
 @query(f"WITH {_ROWS}, {_SUITE} SELECT DISTINCT review_index, 'evaluation_exact_match:' || suite AS reason FROM rel JOIN suite USING (norm)")
 def decontaminate_exact(spark, d):
-    return _contamination(spark, d).select("review_index", F.explode("reasons").alias("reason")).where("reason like 'evaluation_exact%'")
+    return _contamination(spark, d, "exact")
+
+
+@query()
+def decontaminate_exact_strict(spark, d):
+    return _contamination(spark, d, "exact", strict=True)
 
 
 @query(
@@ -177,7 +247,12 @@ def decontaminate_exact(spark, d):
     "SELECT DISTINCT review_index, 'evaluation_8gram_overlap:' || suite AS reason FROM rg JOIN sg USING (gram) WHERE review_index NOT IN (SELECT review_index FROM rel JOIN suite USING (norm))"
 )
 def decontaminate_8gram(spark, d):
-    return _contamination(spark, d).select("review_index", F.explode("reasons").alias("reason")).where("reason like 'evaluation_8gram%'")
+    return _contamination(spark, d, "8gram")
+
+
+@query()
+def decontaminate_8gram_strict(spark, d):
+    return _contamination(spark, d, "8gram", strict=True)
 
 
 @query(
@@ -187,7 +262,15 @@ def decontaminate_8gram(spark, d):
     "SELECT suite, count(*) FILTER (exact) AS exact_rows, count(*) FILTER (NOT exact) AS overlap_rows FROM (SELECT *, true AS exact FROM exact UNION ALL SELECT *, false FROM near) GROUP BY suite"
 )
 def contamination_by_suite(spark, d):
-    r = _contamination(spark, d).select(F.explode("reasons").alias("reason"))
+    return _by_suite(_contamination(spark, d))
+
+
+@query()
+def contamination_by_suite_strict(spark, d):
+    return _by_suite(_contamination(spark, d, strict=True))
+
+
+def _by_suite(r):
     exact = F.col("reason").startswith("evaluation_exact_match:")
     return r.groupBy(F.substring_index("reason", ":", -1).alias("suite")).agg(F.count_if(exact).alias("exact_rows"), F.count_if(~exact).alias("overlap_rows"))
 

@@ -179,9 +179,10 @@ def normalize_hash(spark, d):
 
 @query()
 def normalize_strict(spark, d):
-    """The strict form (NFKC, case folding) against the stored hashes of accepted rows."""
-    r = table(spark, d, "review_samples").where("problem is not null and sample_id is not null")
-    return r.select("review_index", audit.problem_hash(F.col("problem"), strict=True).alias("strict_hash")).join(r.select("review_index", "sample_id"), "review_index").select("review_index", "strict_hash", (F.col("strict_hash") == F.col("sample_id")).alias("as_stored"))
+    """The strict form (NFKC, case folding) against the stored hashes of accepted and rejected rows; as_stored is null where none is stored."""
+    stored = F.coalesce("sample_id", "problem_hash")
+    r = table(spark, d, "review_samples").where("problem is not null").select("review_index", audit.problem_hash(F.col("problem"), strict=True).alias("strict_hash"), stored.alias("stored"))
+    return r.select("review_index", "strict_hash", (F.col("strict_hash") == F.col("stored")).alias("as_stored"))
 
 
 @query()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
+import sys
 import unicodedata
 
 _MARKER = re.compile(r"<\|[A-Za-z_]+\|>|</?s>|\[/?(?:EOS|BOS|PAD|INST)\]")
@@ -20,13 +22,18 @@ def without_markers(text: str) -> str:
     return _MARKER.sub("", text)
 
 
+@functools.cache
+def _invisible() -> re.Pattern:
+    """Format and control characters (Cf, Cc)."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Cf", "Cc")) + "]")
+
+
 def says_nothing(text: str | None) -> bool:
     """Null, or nothing but blanks, markers, empty reasoning or a stand-in for no answer."""
     if text is None:
         return True
     left = re.sub(r"<think>\s*</think>|</?think>", " ", without_markers(text))
-    left = "".join(" " if unicodedata.category(c) in ("Cf", "Cc") else c for c in left) if len(left) < 200 else left
-    left = left.strip()
+    left = _invisible().sub(" ", left).strip()
     return not left or left.casefold().strip(" \"'`*<>[]()") in STAND_INS | {""} or left in STAND_INS
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -45,7 +46,7 @@ def _bucket(term: str) -> int:
 
 
 def _has_digit(term: str) -> bool:
-    return any(c.isdigit() or c.isnumeric() for c in term)
+    return any(category(c)[0] == "N" for c in term)  # str.isnumeric also holds for letters such as U+5341
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -228,6 +228,16 @@ def telemetry_summary(spark, d):
     return e.agg(F.max_by("event_type", "value").alias("peak_event"), F.max("value").alias("peak"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
 
 
+@query(
+    "SELECT (SELECT event_type FROM events WHERE value IS NOT NULL ORDER BY value DESC, ts, event_id LIMIT 1) AS peak_event, (SELECT max(value) FROM events) AS peak, (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) AS last"
+)
+def telemetry_summary_all(spark, d):
+    """Over all events, as the reference's summary; of equal peaks the first in order."""
+    peak = F.struct("value", -F.unix_micros("ts"), -F.col("event_id"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.agg(F.max_by("event_type", peak).alias("peak_event"), F.max("value").alias("peak"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+
+
 _EV = "e AS (SELECT user_id AS run, ts, event_id, value FROM events WHERE event_type = (SELECT min(event_type) FROM events))"
 _ROLL = "r AS (SELECT *, CASE WHEN count(value) OVER w = 20 THEN quantile_cont(value, 0.5) OVER w END AS med FROM e WINDOW w AS (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
 
@@ -251,6 +261,28 @@ def spike_streak(spark, d):
     return guard.spike_streaks(_events(spark, d), "run", ["ts", "event_id"], "value", 1.5).select("event_id", "hit", "streak")
 
 
+_EV_ALL = "e AS (SELECT (user_id, event_type) AS run, ts, event_id, value FROM events)"
+
+
+def _all_events(spark, d):
+    return table(spark, d, "events").select(F.struct("user_id", "event_type").alias("run"), "ts", "event_id", "value")
+
+
+@query(f"WITH {_EV_ALL}, {_ROLL} SELECT event_id, round(med, 6) AS median FROM r")
+def rolling_median_guard_all(spark, d):
+    """All events; the events of one type of one user are a run."""
+    return guard.rolling_medians(_all_events(spark, d), "run", ["ts", "event_id"], ["value"]).select("event_id", F.round("median_value", 6).alias("median"))
+
+
+@query(
+    f"WITH {_EV_ALL}, {_ROLL}, h AS (SELECT *, coalesce(value > 1.5 * med, false) AS hit FROM r), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM h) "
+    "SELECT event_id, hit, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY run, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM i"
+)
+def spike_streak_all(spark, d):
+    """All events; the events of one type of one user are a run."""
+    return guard.spike_streaks(_all_events(spark, d), "run", ["ts", "event_id"], "value", 1.5).select("event_id", "hit", "streak")
+
+
 @query("WITH a AS (SELECT source, count(*) AS rows, count(stop_reason) AS decided, count(*) FILTER (stop_reason = 'length') AS flagged FROM generation_health_2048_records GROUP BY source) SELECT source, rows, decided, CASE WHEN decided < rows THEN 'incomplete' WHEN flagged > 0 THEN 'needs_resolution' ELSE 'passed' END AS status FROM a")
 def verdict_status(spark, d):
     """Stop reasons play verdicts: length is a flag, anything else a keep, null is undecided."""

@@ -6,10 +6,11 @@ query set and every block meets all rows. In each row the rolling Karp-Rabin has
 window is looked up; hits are extended to maximal common runs on the words themselves, so
 hash collisions cannot produce a match. Per row and item the longest non-overlapping runs are
 then marked repeatedly (tiles), which catches reordered passages; their words against the
-item's are its coverage.
+item's are its coverage, and covered_items() gives the texts above a threshold of it.
 
-A run tells which item leaked only if it stands in no other item. Every run is judged at its
-maximal length; a run that another item shares wholly is dropped, also across blocks.
+leaks() asks for one run alone, which tells which item leaked only if it stands in no other
+item. Every run is judged at its maximal length; a run that another item shares wholly is
+dropped, also across blocks.
 
 Defined results for odd input: null, empty and short texts have no windows and no matches;
 items with null or short text match nothing; items with equal texts leak ambiguously and give
@@ -18,9 +19,12 @@ no row; repeated rows each count; empty tables give empty results; only named co
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,40 +107,90 @@ class SeedIndex:
 
 
 def tiling(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: mark the longest unmarked run, trim the others, repeat."""
-    pool, tiles = sorted(runs, key=lambda r: (-r[2], r[0], r[1])), []
-    while pool:
-        p, q, size = pool.pop(0)
-        tiles.append((p, q, size))
-        rest = []
-        for x, y, m in pool:
-            parts = [(0, m)]
-            for s, e in ((p - x, p + size - x), (q - y, q + size - y)):
-                parts = [z for a, b in parts for z in ((a, min(b, s)), (max(a, e), b)) if z[1] - z[0] >= least]
-            rest += [(x + a, y + a, b - a) for a, b in parts]
-        pool = sorted(set(rest), key=lambda r: (-r[2], r[0], r[1]))
+    """Greedy string tiling: mark the longest unmarked run, trim the others, repeat.
+
+    Runs wait in a heap; what is marked meanwhile is cut out of a run when its turn comes, so
+    every run is trimmed a few times, not once per tile.
+    """
+    heap = [(-m, p, q) for p, q, m in set(runs)]
+    heapq.heapify(heap)
+    in_text, in_item, tiles = _Marked(), _Marked(), []
+    while heap:
+        m, p, q = heapq.heappop(heap)
+        parts = [(a + x, q + a + x - p, y - x) for a, b in in_text.free(p, p - m) for x, y in in_item.free(q + a - p, q + b - p, shift=True) if y - x >= least]
+        if parts == [(p, q, -m)]:
+            tiles.append((p, q, -m))
+            in_text.mark(p, p - m)
+            in_item.mark(q, q - m)
+        else:
+            for part in parts:
+                heapq.heappush(heap, (-part[2], part[0], part[1]))
     return tiles
 
 
+class _Marked:
+    """Disjoint marked intervals."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def mark(self, start: int, end: int) -> None:
+        at = bisect.bisect(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+    def free(self, start: int, end: int, shift: bool = False) -> list[tuple[int, int]]:
+        """The unmarked parts of an interval, relative to its start on request."""
+        out, at = [], start
+        k = bisect.bisect_right(self.ends, start)
+        while k < len(self.starts) and self.starts[k] < end:
+            if self.starts[k] > at:
+                out.append((at, self.starts[k]))
+            at = max(at, self.ends[k])
+            k += 1
+        if at < end:
+            out.append((at, end))
+        return [(x - start, y - start) for x, y in out] if shift else out
+
+
+def owned_runs(runs: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int | None]]:
+    """(start, length, item or None) of each span once; None where another item explains all of it.
+
+    One sweep over the spans by start keeps the furthest end of two different items, so a span
+    is compared with none of the others.
+    """
+    spans = defaultdict(set)
+    for k, found in runs.items():
+        for p, _, size in found:
+            spans[(p, -p - size)].add(k)
+    out: list[tuple[int, int, int | None]] = []
+    first, second = (-1, -1), (-1, -1)  # (end, item), of different items
+    for (start, end), owners in sorted(spans.items()):  # equal starts: the longest first
+        end = -end
+        for k in owners:
+            if k == first[1] or end > first[0]:
+                first, second = (max(first[0], end), k), (second if k == first[1] else first)
+            elif end > second[0]:
+                second = (end, k)
+        k = next(iter(owners)) if len(owners) == 1 else None
+        if k is not None and (first if first[1] != k else second)[0] >= end:
+            k = None
+        out.append((start, end - start, k))
+    return out
+
+
 def text_matches(index: SeedIndex, ids: np.ndarray, at, low, high) -> list[tuple]:
     """(start, length, item or None, item words, covered, tiles) of one text.
 
-    Item is None for a span that several items of the block share.
+    Item is None for a span that another item of the block explains as well. Each item is tiled
+    once; its coverage stands in a row of its own, with length 0.
     """
     runs = index.runs(ids, at, low, high)
-    spans = defaultdict(set)
+    out = [(start, size, None if k is None else index.ids[k], None, None, None) for start, size, k in owned_runs(runs)]
     for k, found in runs.items():
-        for p, _, size in found:
-            spans[(p, p + size)].add(k)
-    out = []
-    for (s, e), owners in spans.items():
-        inside = any(a <= s and e <= b and (others - owners or len(others) > 1) for (a, b), others in spans.items())
-        if len(owners) > 1 or inside:
-            out.append((s, e - s, None, None, None, None))
-        else:
-            k = next(iter(owners))
-            tiles = tiling(runs[k], index.n)
-            out.append((s, e - s, index.ids[k], len(index.words[k]), sum(t[2] for t in tiles), len(tiles)))
+        tiles = tiling(found, index.n)
+        out.append((0, 0, index.ids[k], len(index.words[k]), sum(t[2] for t in tiles), len(tiles)))
     return out
 
 
@@ -175,8 +229,8 @@ def _scan(index_bc, fields: list[str]):
     return run
 
 
-def leaks(rows: DataFrame, id_col: str, text_cols: list[str], items: DataFrame, item_id: str, item_text: str, min_words: int = 8, block_words: int = 1_000_000) -> DataFrame:
-    """row_id, field, start, length, item_id, item_words, covered, tiles: runs that one item alone explains."""
+def matches(rows: DataFrame, id_col: str, text_cols: list[str], items: DataFrame, item_id: str, item_text: str, min_words: int = 8, block_words: int = 1_000_000) -> list[DataFrame]:
+    """Per block of items: runs (length > 0) and tilings (length 0) of all rows."""
     spark = rows.sparkSession
     items = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -187,22 +241,37 @@ def leaks(rows: DataFrame, id_col: str, text_cols: list[str], items: DataFrame,
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         index = spark.sparkContext.broadcast(SeedIndex([(r.item_id, r.text) for r in block.sort("item_id").toLocalIterator()], min_words))
         parts.append(rows.mapInArrow(_scan(index, text_cols), _MATCH))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if blocks == 1:
+    return parts
+
+
+def leaks(rows: DataFrame, id_col: str, text_cols: list[str], items: DataFrame, item_id: str, item_text: str, min_words: int = 8, block_words: int = 1_000_000) -> DataFrame:
+    """row_id, field, start, length, item_id: runs of at least min_words words that one item alone explains."""
+    parts = matches(rows, id_col, text_cols, items, item_id, item_text, min_words, block_words)
+    found = reduce(DataFrame.unionByName, parts).where("length > 0").select("row_id", "field", "start", "length", "item_id")
+    if len(parts) == 1:
         return found.where("item_id is not null")
     spans = found.select(F.col("row_id").alias("r"), F.col("field").alias("f"), F.col("start").alias("s"), F.col("length").alias("l"), F.col("item_id").alias("i")).distinct()
     shared = (F.col("row_id") == F.col("r")) & (F.col("field") == F.col("f")) & (F.col("s") <= F.col("start")) & (F.col("s") + F.col("l") >= F.col("start") + F.col("length")) & (F.col("i").isNull() | (F.col("i") != F.col("item_id")))
     return found.where("item_id is not null").join(spans, shared, "left_anti")
 
 
-def leaked_items(matches: DataFrame, min_coverage: float = 0.0) -> DataFrame:
-    """item_id, row_id: each affected pair once, at or above the coverage threshold."""
-    return matches.where(F.col("covered") >= F.col("item_words") * min_coverage).select("item_id", "row_id").distinct()
+def leaked_items(found: DataFrame) -> DataFrame:
+    """item_id, row_id: each affected pair once."""
+    return found.select("item_id", "row_id").distinct()
+
+
+def covered_items(rows: DataFrame, id_col: str, text_cols: list[str], items: DataFrame, item_id: str, item_text: str, min_words: int = 5, min_coverage: float = 0.8) -> DataFrame:
+    """item_id, row_id, field, item_words, covered, tiles: texts whose tiles cover at least min_coverage of an item.
+
+    Tiles are at least min_words words and may stand in any order, so a text that holds an
+    item's passages reordered or apart is found; an item shorter than min_words cannot be.
+    """
+    parts = matches(rows, id_col, text_cols, items, item_id, item_text, min_words)
+    tiled = reduce(DataFrame.unionByName, parts).where("length = 0")
+    return tiled.where(F.col("covered") >= F.col("item_words") * min_coverage - 1e-9).select("item_id", "row_id", "field", "item_words", "covered", "tiles")
 
 
-def leak_report(matches: DataFrame) -> DataFrame:
-    """item_id, rows, longest_run, best_coverage."""
-    per = matches.groupBy("item_id", "row_id").agg(F.max("length").alias("longest"), F.max(F.col("covered") / F.col("item_words")).alias("coverage"))
-    return per.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows"), F.max("longest").alias("longest_run"), F.round(F.max("coverage"), 6).alias("best_coverage"))
+def leak_report(found: DataFrame) -> DataFrame:
+    """item_id, rows, longest_run."""
+    per = found.groupBy("item_id", "row_id").agg(F.max("length").alias("longest"))
+    return per.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows"), F.max("longest").alias("longest_run"))

@@ -46,16 +46,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairdefects.defects(pairdefects.pair_rows(tables))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "review_samples"), "review_index", ["problem", "generation"], table(spark, d, "eval_suites"), "item_id", "problem")
+def _leak_tables(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "review_samples"), "review_index", ["problem", "generation"], table(spark, d, "eval_suites"), "item_id", "problem"
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_items(_leaks(spark, d)).select("item_id", F.col("row_id").alias("review_index"))
+    return leakage.leaked_items(leakage.leaks(*_leak_tables(spark, d))).select("item_id", F.col("row_id").alias("review_index"))
+
+
+def p4_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose tiles cover four fifths of their words, in whatever order they stand."""
+    found = leakage.covered_items(*_leak_tables(spark, d))
+    return found.select("item_id", F.col("row_id").alias("review_index"), "field", "item_words", "covered", "tiles")
 
 
 def p4_leak_report(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leak_report(_leaks(spark, d))
+    return leakage.leak_report(leakage.leaks(*_leak_tables(spark, d)))
 
 
 LEDGER_RATE = 0.1
@@ -125,6 +131,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(lookalike.one_form(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def p10_groups(spark: SparkSession, d: str) -> DataFrame:
+    """p10_found in compact form: each affected document with the least id of its form."""
+    return lookalike.lookalike_groups(lookalike.one_form(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p10_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens the vocabulary decides."""
+    return lookalike.vocabulary_report(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("canonical").alias("text"))
 

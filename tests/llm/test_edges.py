@@ -1,6 +1,7 @@
 """Odd input for every training-data operator: nulls, empty and very long texts, repeats, empty tables, clashing columns."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -56,13 +57,60 @@ def test_leaks(spark):
     )
     found = leakage.leaks(rows, "r", ["a", "b"], items, "item_id", "problem")
     assert {tuple(r) for r in leakage.leaked_items(found).collect()} == {(1, 1), (2, 3), (1, 5)}
-    reordered = found.where("row_id = 1").first()
+    reordered = leakage.covered_items(rows, "r", ["a", "b"], items, "item_id", "problem", min_words=8).where("row_id = 1").first()
     assert reordered.covered == 17 and reordered.tiles == 2
-    assert leakage.leaked_items(found, 0.9).where("row_id = 1").count() == 0
+    covered = leakage.covered_items(rows, "r", ["a", "b"], items, "item_id", "problem", min_coverage=0.9)
+    assert covered.where("row_id = 1").count() == 0
     assert leakage.leaks(rows, "r", ["a"], items.limit(0), "item_id", "problem").count() == 0
     assert leakage.leaks(rows.limit(0), "r", ["a"], items, "item_id", "problem").count() == 0
 
 
+def test_covered_items_reordered(spark):
+    """Passages of an item in another order cover it, though no long run does."""
+    item = [f"w{k}" for k in range(30)]
+    pieces = [item[20:27], item[0:6], item[12:20], item[6:12]]
+    text = " filler ".join(" ".join(x) for x in pieces)
+    rows = spark.createDataFrame([(1, text, None), (2, " ".join(item[:20]), ""), (3, None, " ".join(item) + " " + " ".join(item))], "r bigint, a string, b string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "a b c")], "item_id bigint, problem string")
+    got = {(r.row_id, r.item_id, r.field, r.covered, r.tiles) for r in leakage.covered_items(rows, "r", ["a", "b"], items, "item_id", "problem").collect()}
+    assert got == {(1, 7, "a", 27, 4), (3, 7, "b", 30, 1)}
+    assert leakage.leaks(rows, "r", ["a"], items, "item_id", "problem", min_words=9).where("row_id = 1").count() == 0
+    assert leakage.covered_items(rows.limit(0), "r", ["a"], items, "item_id", "problem").count() == 0
+
+
+def test_tiling_and_owners_like_the_plain_way():
+    """Heap and sweep against marking and comparing in the plain way, on random runs."""
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [rng.randrange(4) for _ in range(40)]
+        item = [rng.randrange(4) for _ in range(14)]
+        runs = [(p, q, n) for p in range(40) for q in range(14) for n in range(3, 15) if words[p : p + n] == item[q : q + n] and len(words[p : p + n]) == n and q + n <= 14]
+        marked_p, marked_q, want = set(), set(), []
+        while True:
+            free = [(-n, p, q) for p0, q0, n0 in runs for x in range(n0) for n in range(3, n0 - x + 1) for p, q in [(p0 + x, q0 + x)] if not marked_p & set(range(p, p + n)) and not marked_q & set(range(q, q + n))]
+            if not free:
+                break
+            n, p, q = min(free)
+            want.append((p, q, -n))
+            marked_p |= set(range(p, p - n))
+            marked_q |= set(range(q, q - n))
+        assert leakage.tiling(runs, 3) == want
+        spans = {k: [(rng.randrange(10), 0, rng.randrange(1, 8)) for _ in range(rng.randrange(4))] for k in range(3)}
+        flat = {(p, p + n, k) for k, found in spans.items() for p, _, n in found}
+        for start, size, k in leakage.owned_runs(spans):
+            owners = {o for a, b, o in flat if a <= start and b >= start + size}
+            assert (k is None) == (len(owners) > 1) and (k is None or owners == {k})
+
+
+def test_many_repeats_of_an_item_are_quick():
+    words = [f"w{k}" for k in range(20)]
+    index = leakage.SeedIndex([(1, " ".join(words))], 8)
+    ids = np.array([index.vocabulary[w] for w in words] * 20_000, np.uint64)
+    began = time.perf_counter()
+    out = leakage.text_matches(index, ids, *index.find(ids))
+    assert sum(r[1] > 0 for r in out) == 20_000 and out[-1][2:] == (1, 20, 20, 1) and time.perf_counter() - began < 20
+
+
 def test_tiling_marks_longest_first():
     assert leakage.tiling([(0, 0, 10), (5, 20, 12)], 3) == [(5, 20, 12), (0, 0, 5)]
     assert leakage.tiling([(0, 0, 10), (20, 5, 8)], 3) == [(0, 0, 10), (25, 10, 3)]

@@ -29,10 +29,12 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
 
-    Only where it is unset (local runs and tests) a folder is created and set.
+    Only on a local master, where it is unset, a folder is created and set; elsewhere that raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(spark, "_millrace_shared", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -56,12 +58,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _tables.append(path)
+    register(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def register(path: str) -> None:
+    """A path of the shared folder that release() shall delete."""
+    _tables.append(path)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the tables that written() made in this process; call it once results are consumed."""
+    """Delete what written() and register() noted in this process; call it once results are consumed."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     count = len(_tables)

@@ -220,7 +220,9 @@ def test_mixing(spark):
     assert abs(shares["A"].actual_share - 0.5) < 0.01 and abs(shares["B"].actual_share - 0.5) < 0.01
     rows = chosen.collect()
     assert {r.source for r in rows} == {"A", "B"} and max(r.repeats for r in rows if r.source == "A") == 1 and max(r.repeats for r in rows) <= 3
-    assert len({r.id for r in rows}) == len(rows) and all(r.id < 1000 for r in rows)
+    # no text, other sources and null ids stay out; a document without source takes part by its posterior
+    assert len({r.id for r in rows}) == len(rows) and all(r.id < 1000 or r.id == 1003 and r.repeats == 1 for r in rows)
+    assert sum(r.unlabelled for r in shares.values()) == sum(r.id == 1003 for r in rows)
     # as large as allowed: one source is used up
     sums = {s: sum(r.tokens * r.repeats for r in rows if r.source == s) for s in "AB"}
     all_a = sum(r.tokens for r in mixing.mix(df, goal([("A", 1.0, 1)]))[0].collect())
@@ -230,11 +232,40 @@ def test_mixing(spark):
     assert mixing.mix(df, goal([]))[0].count() == 0
 
 
-def test_rates_meet_targets():
-    members = np.array([[1, 0], [0, 1], [0.5, 0.5]])
-    tokens, caps = np.array([100.0, 300.0, 50.0]), np.array([2.0, 1.0, 1.0])
-    rates = mixing.fit_rates(tokens, members, caps, np.array([120.0, 200.0]))
-    assert np.allclose(members.T @ (rates * tokens), [120, 200], atol=1e-3) and (rates >= 0).all() and (rates <= caps + 1e-9).all()
+def test_pretokens_are_those_of_the_pattern():
+    rng = random.Random(8)
+    pool = [chr(c) for c in (*range(32, 127), 9, 10, 13, 0x1C, 0x85, 0xA0, 0x2003, 0x3000, 0x200B, 0xB2, 0xBD, 0x2167, 0x663, 0x3007, 0x4E00, 0x301, 0x1D400, 0x1F600, 0x1D7D8)]
+    pool += [chr(c) for c in rng.sample([c for c in range(0x10000) if not 0xD800 <= c < 0xE000], 3000)]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool[:140] if rng.random() < 0.8 else pool) for _ in range(rng.randrange(60)))
+        assert encoding.pretokens(text) == encoding._SPLIT.findall(text)
+
+
+def _units(spark, tokens, members, caps):
+    return spark.createDataFrame([(float(t), float(c), [float(x) for x in m]) for t, m, c in zip(tokens, members, caps)], "tokens double, cap double, membership array<double>").repartition(3)
+
+
+def test_rates_meet_targets(spark):
+    members = np.array([[1, 0], [0, 1], [0.5, 0.5], [0.1, 0.3]])
+    tokens, caps, share = np.array([100.0, 300.0, 50.0, 80.0]), np.array([2.0, 1.0, 1.0, 1.0]), np.array([0.3, 0.7])
+    steps, targets = mixing.fit_rates(_units(spark, tokens, members, caps), share)
+    rates = mixing.replay(members, caps, steps)
+    most = (members.T @ (tokens * caps) / share).min()
+    assert np.allclose(targets, share * most) and np.allclose(members.T @ (rates * tokens), targets, rtol=1e-5) and (rates >= 0).all() and (rates <= caps).all()
+
+
+def test_rates_are_the_least_squares(spark):
+    """Against a plain projected gradient of many small steps, where the targets cannot be met."""
+    rng = np.random.default_rng(4)
+    members = np.concatenate([np.eye(3), rng.dirichlet(np.ones(4), 40)[:, :3]])
+    tokens, caps, share = np.concatenate([[400.0, 900.0, 60.0], rng.uniform(5, 60, 40)]), np.concatenate([[2.0, 1.0, 3.0], np.ones(40)]), np.array([0.5, 0.3, 0.2])
+    steps, targets = mixing.fit_rates(_units(spark, tokens, members, caps), share)
+    got = members.T @ (mixing.replay(members, caps, steps) * tokens) - targets
+    rates = caps.copy()
+    for _ in range(200_000):
+        rates = np.clip(rates - 1e-4 * members @ (members.T @ (rates * tokens) - targets), 0, caps)
+    want = members.T @ (rates * tokens) - targets
+    assert np.abs(got).max() <= np.abs(want).max() + 1e-3 * targets.max()
 
 
 def test_lookalike(spark):

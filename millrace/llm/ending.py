@@ -28,12 +28,22 @@ def _invisible() -> re.Pattern:
     return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Cf", "Cc")) + "]")
 
 
+def nothing_left(text: str | None) -> bool:
+    """Null, or nothing but blanks, invisible characters, markers and empty reasoning."""
+    return text is None or not _left(text)
+
+
+def _left(text: str) -> str:
+    if len(text) > 1 and text[0].isalnum() and text[-1].isalnum():
+        return text
+    return _invisible().sub(" ", re.sub(r"<think>\s*</think>|</?think>", " ", without_markers(text))).strip()
+
+
 def says_nothing(text: str | None) -> bool:
     """Null, or nothing but blanks, markers, empty reasoning or a stand-in for no answer."""
     if text is None:
         return True
-    left = re.sub(r"<think>\s*</think>|</?think>", " ", without_markers(text))
-    left = _invisible().sub(" ", left).strip()
+    left = _left(text)
     return not left or left.casefold().strip(" \"'`*<>[]()") in STAND_INS | {""} or left in STAND_INS
 
 
@@ -72,11 +82,16 @@ def _shape(token: str) -> str:
 
 
 def last_segment(text: str) -> str:
-    end = 0
-    for m in _SENTENCE.finditer(text):
-        if m.end() < len(text):
-            end = m.end()
-    return text[end:]
+    """The text after its last sentence end; the tail decides where it holds one."""
+    size = len(text)
+    for start in (max(0, size - 400), 0):
+        end = -1
+        for m in _SENTENCE.finditer(text, start):
+            if m.end() < size:
+                end = m.end()
+        if end >= 0 or not start:
+            return text[max(end, 0) :]
+    return text
 
 
 def ending_features(text: str) -> list[str]:

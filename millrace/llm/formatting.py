@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import runtime
+
 #: White space and punctuation (Unicode categories P*), including the ASCII separators.
 _LEFT_OUT = r"[\p{P}\p{IsWhite_Space}\x1c-\x1f]+"
 _FIELD, _VALUE = "\x1e", "\x1f"
@@ -89,33 +91,41 @@ def canonical_json(line: Column) -> Column:
     return F.when(~nothing, joined)
 
 
-def collapse(rows: DataFrame, id_col: str, text_col: str, kind: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(groups, members) of one table.
+def _rows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("raw")).where(F.col("raw").isNotNull())
+
+
+def survivors(rows: DataFrame, id_col: str, text_col: str, kind: str = "text") -> DataFrame:
+    """raw_key, first, n, canon: one row per byte-identical text of which something is left.
 
-    groups: first_id, copies, key (digest of the canonical text), one row per canonical text.
-    members: first_id, copy_id for every row of a group but the one with the smallest id.
     kind: 'text' or 'json' (each text is one JSON object).
     """
-    rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("raw")).where(F.col("raw").isNotNull())
-    distinct = rows.groupBy("raw").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = _rows(rows, id_col, text_col).groupBy("raw").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     canonical = canonical_json(F.col("raw")) if kind == "json" else canonical_text(F.col("raw"))
-    survivors = distinct.select("first", "n", F.unhex(F.sha2("raw", 256)).alias("raw_key"), canonical.alias("canon")).where(F.col("canon") != "")
-    groups = survivors.groupBy("canon").agg(F.min("first").alias("first_id"), F.sum("n").alias("copies"))
-    groups = groups.select("first_id", "copies", F.unhex(F.sha2("canon", 256)).alias("key"))
-    repeated = groups.where("copies > 1").select("key", "first_id")
-    variants = survivors.select("raw_key", F.unhex(F.sha2("canon", 256)).alias("key")).join(repeated, "key").select("raw_key", "first_id")
-    members = (
-        rows.select("id", F.unhex(F.sha2("raw", 256)).alias("raw_key"))
-        .join(variants, "raw_key")
-        .where(F.col("id") != F.col("first_id"))
-        .select("first_id", F.col("id").alias("copy_id"))
-    )
-    return groups, members
+    return distinct.select(F.unhex(F.sha2("raw", 256)).alias("raw_key"), "first", "n", canonical.alias("canon")).where(F.col("canon") != "")
+
+
+def groups(distinct: DataFrame) -> DataFrame:
+    """first_id, copies, key (digest of the canonical text), one row per canonical text."""
+    found = distinct.groupBy("canon").agg(F.min("first").alias("first_id"), F.sum("n").alias("copies"))
+    return found.select("first_id", "copies", F.unhex(F.sha2("canon", 256)).alias("key"))
+
+
+def members(rows: DataFrame, id_col: str, text_col: str, kind: str = "text") -> DataFrame:
+    """first_id, copy_id for every row of a group but the one with the smallest id.
+
+    The survivors are canonicalised once and written; grouping and membership read them.
+    """
+    distinct = runtime.written(survivors(rows, id_col, text_col, kind), "survivors")
+    repeated = groups(distinct).where("copies > 1").select("key", "first_id")
+    variants = distinct.select("raw_key", F.unhex(F.sha2("canon", 256)).alias("key")).join(repeated, "key").select("raw_key", "first_id")
+    keyed = _rows(rows, id_col, text_col).select("id", F.unhex(F.sha2("raw", 256)).alias("raw_key"))
+    return keyed.join(variants, "raw_key").where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("copy_id"))
 
 
 def table_copies(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFrame:
     """table_name, first_id, copy_id over several tables, each compared by itself."""
-    parts = [collapse(df, i, t, kind)[1].select(F.lit(name).alias("table_name"), "first_id", "copy_id") for name, df, i, t, kind in tables]
+    parts = [members(df, i, t, kind).select(F.lit(name).alias("table_name"), "first_id", "copy_id") for name, df, i, t, kind in tables]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -124,7 +134,7 @@ def table_copies(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFram
 
 def table_groups(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFrame:
     """table_name, first_id, copies: one row per distinct canonical value."""
-    parts = [collapse(df, i, t, kind)[0].select(F.lit(name).alias("table_name"), "first_id", "copies") for name, df, i, t, kind in tables]
+    parts = [groups(survivors(df, i, t, kind)).select(F.lit(name).alias("table_name"), "first_id", "copies") for name, df, i, t, kind in tables]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -2,15 +2,17 @@
 
 Pairs of a bounded, documented sample are taken as they are (negatives) and are made
 defective: cut, replaced by a copy of the question, answered in another language by swapping,
-replaced by a refusal with or without reasoning before it, or emptied. One logistic model per
+replaced by a refusal with or without reasoning before it, or by a stand-in for no answer. Bare
+answers and closings behind other text are made as further negatives. One logistic model per
 defect reads hashed n-grams and pair features: how much of the answer stands in the question
-and the reverse, the language of each by sentence and whether the question asks for a language,
-markers of a result, and the closing of the answer. A first round on structure alone finds the sample's
-own defective pairs and takes them out of the negatives; thresholds are calibrated on held-out pairs.
-Every pair is scored; a pair gets the defect with the largest margin over its threshold.
-
-Defined results for odd input: null, blank and stand-in answers are 'empty' whatever the
-question; a null or blank question can have no copied or foreign answer; very long texts are
+and the reverse, the language of each by sentence (llm.language) and whether the question asks for a
+language, markers of a result, and the closing of the answer. A first round on structure alone finds
+the sample's own defective pairs and takes them out of the negatives; thresholds are calibrated on
+held-out pairs. Every pair is scored; a pair gets the defect with the largest margin over its threshold.
+The features of the sample are computed on the cluster; the driver only fits the weights.
+
+Defined results for odd input: null answers and those that are nothing but blanks and markers are
+'empty' by definition, whatever the question; a null or blank question can have no copied or foreign answer; very long texts are
 read whole; repeated pairs are judged each; an empty table gives an empty result; only the
 named columns are read.
 """
@@ -24,22 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import linear
-from millrace.llm.ending import clearly_cut, cut, ending_features, says_nothing, think_state, without_markers
+from millrace.llm.ending import STAND_INS, clearly_cut, cut, ending_features, last_segment, nothing_left, think_state, without_markers
+from millrace.llm.language import Languages
 from millrace.operators import sampling
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "other_language"]
 
-# Frequent function words per language.
-_FUNCTION_WORDS = {
-    "en": "the of and is are was were with which that this these those so how what for in on at by to from we it its has have if then there each many because hence therefore only one gets get be as an must only not more",
-    "fr": "le la les des du est et une un pour avec donc que qui dans sur par au aux en on ce cette ces il elle nous sont combien où de chaque alors puis avant mais ne pas soit",
-    "es": "el la los las es una un y para con por que qué en de del al se lo su sus como más cuántas cuántos cuál son hay esto esta este entonces luego cada antes pero no así sea",
-    "de": "der die das den dem des ist und ein eine einen für mit auf von zu im wir wie viele danach dann so auch nicht sich bei aus durch daß dass sind war hat noch bis er sie man bleiben je wieviele kommt",
-}
 # Names of the languages, in all of them.
 _LANGUAGE_NAMES = {
     "en": r"english|anglais|inglés|ingles\b|englisch|английск|英文|英语",
@@ -49,13 +45,20 @@ _LANGUAGE_NAMES = {
     "zh": r"chinese|chinois|chino\b|chinesisch|китайск|中文|汉语|漢語",
     "ru": r"russian|russe\b|ruso\b|russisch|русск|俄语|俄文",
 }
+_NAMES = {
+    "en": r"english|anglais|inglés|ingles\b|englisch|английск|英文|英语",
+    "fr": r"french|français|francais|francés|französisch|французск|法语|法文",
+    "es": r"spanish|español|espanol|espagnol|spanisch|испанск|西班牙|castellano",
+    "de": r"german\b|allemand|alemán|deutsch|немецк|德语|德文",
+    "zh": r"chinese|chinois|chino\b|chinesisch|китайск|中文|汉语|漢語",
+    "ru": r"russian|russe\b|ruso\b|russisch|русск|俄语|俄文",
+}
 _STOP: dict[str, tuple[str, ...]] = {}
-for _code, _list in _FUNCTION_WORDS.items():
-    for _w in set(_list.split()):
-        _STOP[_w] = (*_STOP.get(_w, ()), _code)
 _NAMES = {code: re.compile(p) for code, p in _LANGUAGE_NAMES.items()}
 _TOKENS = re.compile(r"[぀-ヿ一-鿿]|[^\W_぀-ヿ一-鿿]+|[.!?。！？;；\n]")
 _SPLITS = set(".!?。！？;；\n")
+_CAPITALS = re.compile(r"(?<=[^.!?。\s:])\s([A-ZÀ-Þ][^\W\d_]+)")
+_STAND_INS = sorted(STAND_INS)
 _RESULT = re.compile(r"boxed|=\s*[\\\d(]|\b(?:answer|result|total|therefore|réponse|résultat|respuesta|resultado|antwort|ergebnis|lautet)\b|ответ|результат|答案|结果|等于")
 
 # Ways to decline, for training; {} stands for nothing.
@@ -80,90 +83,72 @@ _WISHES = ("Answer in {}.", "Please answer in {}.", "Reply in {}.", "Your answer
 _INTROS = ("", "", "", "Restating the task: ", "We are told: ", "The problem says: ", "You asked: ", "Question: ", "The question is as follows:\n", "Problem:\n", "> ", "* ", "- ", "Here is the problem again: ")
 
 
+_SIGNS = " \t\r\n\"'`*<>[](){}_.,:;!?-–—…"
+
+
 def _language(counts: dict[str, float]) -> str:
-    best = max(counts, key=counts.get) if counts else ""
-    return best if best and counts[best] > 0 else ""
-
-
-def read(text: str) -> tuple[list[str], dict[str, float]]:
-    """(words, words by language, sentence by sentence) of a whole text."""
-    words: list[str] = []
-    total: dict[str, float] = {}
-    size, hits = 0, dict.fromkeys(("en", "fr", "es", "de", "zh", "ru"), 0.0)
-    for token in [*_TOKENS.findall(text.lower()), "\n"]:
-        if token in _SPLITS:
-            if size:
-                best = max(hits, key=hits.get)
-                if hits[best] > 0:
-                    total[best] = total.get(best, 0.0) + (0.6 * hits["zh"] if best == "zh" else size)
-                size, hits = 0, dict.fromkeys(hits, 0.0)
-            continue
-        words.append(token)
-        size += 1
-        c = token[0]
-        if c >= "぀" and c <= "鿿":
-            hits["zh"] += 1
-        elif "Ѐ" <= c <= "ӿ":
-            hits["ru"] += 1
-        elif token in _STOP:
-            for code in _STOP[token]:
-                hits[code] += 1
-    return words, total
+    return max(counts, key=counts.get) if counts else ""
 
 
 def _step(x: float, n: int = 10) -> int:
     return int(min(max(x, 0.0), 1.0) * n + 1e-9)
 
 
-def _gram(word: str) -> str:
-    return "0" if word[0].isdigit() else word
+def _words(text: str) -> list[str]:
+    return [w for w in _TOKENS.findall(text.lower()) if w not in _SPLITS]
+
+
+def all_features(pairs: list[tuple[str | None, str]], languages: Languages) -> list[np.ndarray]:
+    """Feature indices of pairs whose answers are more than blanks and markers."""
+    plain = [without_markers(a) for _, a in pairs]
+    asked_in, answered_in = languages.read_all([q or "" for q, _ in pairs]), languages.read_all(plain)
+    return [np.concatenate(features(q, a, *rest)) for (q, a), *rest in zip(pairs, plain, asked_in, answered_in)]
 
 
-def features(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]:
-    """(structure, words): feature indices of a pair whose answer says something."""
+def features(question: str | None, answer: str, plain: str, asked_in: dict[str, float], language: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(structure, words) of a pair; plain is the answer without markers, the rest are words by language."""
     out = ending_features(answer)
-    plain = without_markers(answer)
     body = plain.rsplit("</think>", 1)[-1] if "</think>" in plain else plain.replace("<think>", " ")
-    asked, asked_in = read(question) if question else ([], {})
-    words, language = read(plain)
-    body_words = words if body is plain else _TOKENS.findall(body.lower())
+    asked, words = _words(question) if question else [], _words(plain)
+    plain_words = words if body is plain else _words(body)
+    low = body.lower()
     # result and size
-    result, digits = bool(_RESULT.search(body.lower())), sum(w[0].isdigit() for w in body_words)
-    plain_words = [w for w in body_words if w not in _SPLITS]
+    result, digits = bool(_RESULT.search(low)), sum(w[0].isdigit() for w in plain_words)
     size = len(plain_words)
     out += [f"b:result={result}", f"b:digits={min(digits, 4)}", f"b:size={min(size, 80).bit_length()}", f"b:kind={result},{min(digits, 2)},{min(size, 80).bit_length()}"]
+    # what little there is
+    if size <= 6 and len(body) < 200:
+        bare = low.strip(_SIGNS)
+        out += [f"e:all={bare or low.strip()}", f"e:kind={'sign' if not bare else 'digit' if digits else 'word'},{min(size, 4)}"]
     # n-grams of the body; names become one sign
-    names = {m.lower() for m in re.findall(r"(?<=[^.!?。\s:])\s([A-ZÀ-Þ][^\W\d_]+)", body)}
-    grams = ["A" if w in names else _gram(w) for w in plain_words]
-    lexical: list[str] = []
-    short = min(size, 127).bit_length() <= 5
-    for i, g in enumerate(grams):
-        lexical.append(f"n:{g}")
-        if i:
-            lexical.append(f"n:{grams[i - 1]} {g}")
-            if short and i > 1:
-                lexical.append(f"n:{grams[i - 2]} {grams[i - 1]} {g}")
-    if short:
+    names = {m.lower() for m in _CAPITALS.findall(body)}
+    grams = ["0" if w[0].isdigit() else "A" if w in names else w for w in plain_words]
+    lexical = [f"n:{g}" for g in grams]
+    lexical += [f"n:{x} {y}" for x, y in zip(grams, grams[1:])]
+    if min(size, 127).bit_length() <= 5:
+        lexical += [f"n:{x} {y} {z}" for x, y, z in zip(grams, grams[1:], grams[2:])]
         lexical += [f"s:{result},{g}" for g in grams]
     # copy
     cover = 0.0
+    last = plain.rstrip()[-1:]
     if asked and words:
         have, want = Counter(words), Counter(asked)
         shared = sum(min(n, have[w]) for w, n in want.items() if w in have)
-        inside = sum(n for w, n in have.items() if w in want) / len(words)
-        extra = len(words) - sum(n for w, n in have.items() if w in want)
-        cover = shared / len(asked)
+        common = sum(n for w, n in have.items() if w in want)
+        inside, extra, cover = common / len(words), len(words) - common, shared / len(asked)
         out += [f"c:inside={_step(inside, 20)}", f"c:cover={_step(cover)}", f"c:both={_step(inside)},{_step(cover, 5)}", f"c:extra={min(extra, 16).bit_length()},{_step(cover, 5)}"]
-        out.append(f"c:end={cover > 0.95},{inside > 0.9},{think_state(answer)},{'mark' if plain.rstrip()[-1:] in '.!?。！？' else 'none'}")
+        out.append(f"c:end={cover > 0.95},{inside > 0.9},{think_state(answer)},{'mark' if last and last in '.!?。！？' else 'none'}")
         out.append(f"c:all={inside > 0.85},{cover > 0.85},{min(len(words), 9) > 8},{extra <= 6}")
-    told = not digits and not result and bool(body_words)
-    out.append(f"b:told={told},{body.rstrip()[-1:] in '.!?。！？'},{bool(asked) and cover < 0.5}")
+    told = not digits and not result and bool(plain_words)
+    last = body.rstrip()[-1:]
+    out.append(f"b:told={told},{bool(last) and last in '.!?。！？'},{bool(asked) and cover < 0.5}")
     # language
     to, of = _language(asked_in), _language(language)
     if to and of:
-        mass = language[of] / sum(language.values())
-        requested = bool(_NAMES[of].search(question.lower()))
-        rest = language.get(to, 0.0) / sum(language.values())
+        total = sum(language.values())
+        mass = language[of] / total
+        requested = of in _NAMES and bool(_NAMES[of].search(question.lower()))
+        rest = language.get(to, 0.0) / total
         out += [f"l:differs={to != of}", f"l:{to != of},{requested},{_step(mass, 4)}", f"l:own={_step(rest, 8)},{requested}"]
         out.append(f"l:foreign={to != of and not requested and rest < 0.5 and language[of] >= 5}")
     else:
@@ -210,90 +195,145 @@ def copied(question: str, rng: random.Random) -> str:
 _MARKS = ("", "", "", "<|im_end|>")
 
 
-def synthetic(pairs: list[tuple[str | None, str]], seed: int) -> list[tuple[int, str | None, str, int]]:
-    """(index of the origin, question, answer, defect or -1) made from pairs."""
-    rng = random.Random(seed)
-    by: dict[str, list[int]] = {}
-    spoken = []
-    for k, (_, a) in enumerate(pairs):
-        words, language = read(without_markers(a))
-        spoken.append(_language(language) if sum(language.values()) >= 8 else "")
-        if spoken[-1]:
-            by.setdefault(spoken[-1], []).append(k)
-    out = []
-    for k, (q, a) in enumerate(pairs):
+def stand_in(rng: random.Random) -> str:
+    """A stand-in for no answer in one of its dresses."""
+    text = rng.choice(_STAND_INS)
+    text = rng.choice((text, text, text.upper(), text.capitalize()))
+    if rng.random() < 0.3:
+        text = rng.choice(("“{}”", '"{}"', "'{}'", "**{}**", "[{}]", "({})", "<{}>", "`{}`")).format(text)
+    text += rng.choice(("", "", "", ".", "\n", " "))
+    return rng.choice(("", "", "", "<think>\n</think>\n\n")) + text + rng.choice(_MARKS)
+
+
+def bare(answer: str, rng: random.Random) -> str | None:
+    """The closing of an answer alone: its last sentence, or the last value in it."""
+    closing = last_segment(without_markers(answer).rstrip())
+    values = re.findall(r"-?\d+(?:[.,/]\d+)*|[^\W\d_]{2,}", closing)
+    if not values or think_state(answer) == "open":
+        return None
+    draw = rng.random()
+    if draw < 0.4:
+        return closing
+    if draw < 0.75:
+        return re.sub(r"[.。]$", "", closing)
+    return rng.choice(("", "", "= ", "**")) + values[-1] + rng.choice(("", "", "."))
+
+
+class Sample:
+    """The pairs that a model learns from, with what making defects of one needs of the others."""
+
+    def __init__(self, pairs: list[tuple[str | None, str]], seed: int):
+        self.pairs, self.seed = pairs, seed
+        self.languages = Languages.learn([x for q, a in pairs for x in (q, a) if x])
+        self.spoken: list[str] = []
+        self.by: dict[str, list[int]] = {}
+        self.asked = [_language(x) for x in self.languages.read_all([q or "" for q, _ in pairs])]
+        for k, language in enumerate(self.languages.read_all([without_markers(a) for _, a in pairs])):
+            self.spoken.append(_language(language) if sum(language.values()) >= 8 else "")
+            if self.spoken[-1]:
+                self.by.setdefault(self.spoken[-1], []).append(k)
+
+    def made(self, k: int) -> list[tuple[str | None, str, int]]:
+        """(question, answer, defect or -1) made from pair k; the same wherever it runs."""
+        rng = random.Random(f"{self.seed}:{k}")
+        q, a = self.pairs[k]
+        out: list[tuple[str | None, str, int]] = []
         for _ in range(2):
             if c := cut(a, rng):
-                out.append((k, q, c, 1))
+                out.append((q, c, 1))
         if q and len(q) > 20 and rng.random() < 0.2:  # cut in or soon after a repeated question
             lead = rng.choice(_INTROS) + q
             at = rng.randrange(len(lead) // 2, len(lead) + 80)
             head = f"{lead}\n\n{a}"[:at].rstrip()
             if at < len(lead) - 3 or at > len(lead) + 3 and (clearly_cut(head) or head[-1:].isalnum()):
-                out.append((k, q, head + rng.choice(("", "", "...")), 1))
-        asked = _language(read(q)[1]) if q else ""
-        tongues = [asked or "en"] + ([rng.choice(list(_REFUSALS))] if rng.random() < 0.3 else [])
+                out.append((q, head + rng.choice(("", "", "...")), 1))
+        if rng.random() < 0.3:
+            out.append((q, stand_in(rng), 0))
+        if rng.random() < 0.5 and (closing := bare(a, rng)):  # a closing is none the worse for what precedes it
+            other = without_markers(self.pairs[rng.randrange(len(self.pairs))][1])
+            lead = re.match(r"[^.!?。！？\n]{10,}[.。]", other)
+            out.append((q, closing if rng.random() < 0.4 or not lead else f"{lead.group()}\n\n{closing}", -1))
+        asked = self.asked[k]
+        tongues = [asked if asked in _REFUSALS else "en"] + ([rng.choice(list(_REFUSALS))] if rng.random() < 0.3 else [])
         for say in [refusal(x, rng, q) for x in tongues]:
             if rng.random() >= 0.4:
-                out.append((k, q, say + rng.choice(_MARKS), 2))
+                out.append((q, say + rng.choice(_MARKS), 2))
                 continue
             m = re.match(r"\s*<think>.*?</think>", a, re.S)
             thought = m.group() if m else "<think>\n" + (a[: a.find(".") + 1] or a) + "\n</think>"
-            out.append((k, q, thought + "\n\n" + say + rng.choice(_MARKS), 2))
+            out.append((q, thought + "\n\n" + say + rng.choice(_MARKS), 2))
         if q and q.strip() and len(q) > 20:
-            out.append((k, q, copied(q, rng) + rng.choice(_MARKS), 3))
-            others = [x for x in by if x != asked and not _NAMES[x].search(q.lower())]
+            out.append((q, copied(q, rng) + rng.choice(_MARKS), 3))
+            others = [x for x in sorted(self.by) if x != asked and not (x in _NAMES and _NAMES[x].search(q.lower()))]
             if asked and others:
-                j = rng.choice(by[rng.choice(others)])
-                if says_nothing(pairs[j][1]) is False:
-                    out.append((k, q, pairs[j][1], 4))
-                    wish = rng.choice(_WISHES).format(rng.choice(_LANGUAGES[spoken[j]]))
-                    out.append((k, f"{q} {wish}" if rng.random() < 0.8 else f"{wish} {q}", pairs[j][1], -1))  # asked for: no defect
-    return out
-
-
-def train(sample: list[tuple[str | None, str | None]], seed: int = 5) -> linear.Linear:
-    """The model, after dropping the sample's own defective pairs from the negatives."""
-    pairs = [(q, a) for q, a in sample if a is not None and not says_nothing(a)]
-    if not pairs:
-        return linear.Linear(DEFECTS, np.zeros((linear.WIDTH, len(DEFECTS)), np.float32), np.zeros(len(DEFECTS)), np.ones(len(DEFECTS)))
-    natural = [features(q, a) for q, a in pairs]
-    made = [(k, features(q, a), d) for k, q, a, d in synthetic(pairs, seed)]
-    keep, guessed, model = np.ones(len(pairs), bool), np.full(len(pairs), -1), None
-    for stage in range(3):
-        # Structure alone finds the sample's own defective pairs, whatever their wording; words join later.
-        view = (lambda f: f[0]) if stage == 0 else np.concatenate
-        clean, own = np.flatnonzero(keep), np.flatnonzero(guessed >= 0)
-        rows = [view(natural[k]) for k in [*clean, *own]] + [view(f) for _, f, _ in made]
-        owner = np.array([*clean, *own, *[k for k, _, _ in made]], int)
-        truth = np.zeros((len(rows), len(DEFECTS)))
-        truth[np.arange(len(clean), len(clean) + len(own)), guessed[own]] = 1
-        for i, (_, _, d) in enumerate(made, len(clean) + len(own)):
-            if d >= 0:
-                truth[i, d] = 1
-        held = owner % 5 == 0
-        part = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
-        model = linear.train(DEFECTS, [rows[i] for i in part], truth[part], lower_only=(DEFECTS.index("truncated"),))
+                j = rng.choice(self.by[rng.choice(others)])
+                out.append((q, self.pairs[j][1], 4))
+                if self.spoken[j] in _LANGUAGES:
+                    wish = rng.choice(_WISHES).format(rng.choice(_LANGUAGES[self.spoken[j]]))
+                    out.append((f"{q} {wish}" if rng.random() < 0.8 else f"{wish} {q}", self.pairs[j][1], -1))  # asked for: no defect
+        return out
+
+    def examples(self, k: int) -> list[tuple[int, np.ndarray]]:
+        """(defect, features) of pair k as it is (defect -2) and of all made from it."""
+        all_of = [(*self.pairs[k], -2)] + [x for x in self.made(k) if not nothing_left(x[1])]
+        return list(zip([d for *_, d in all_of], all_features([(q, a) for q, a, _ in all_of], self.languages)))
+
+
+def fit(origin: np.ndarray, defect: np.ndarray, rows: linear.Rows, pairs: int) -> linear.Linear:
+    """The model from all examples, after dropping the sample's own defective pairs from the negatives.
+
+    Structure alone finds these in a first round, whatever their wording; words join in the
+    second, and the last, longest round learns from what the second found.
+    """
+    natural = np.flatnonzero(defect == -2)
+    at = np.empty(pairs, np.int64)
+    at[origin[natural]] = natural  # row of each pair as it is
+    keep, guessed, model = np.ones(pairs, bool), np.full(pairs, -1), linear.Linear.blank(DEFECTS, 1.0)
+    for stage, epochs in enumerate((6, 6, 12)):
+        own = defect == -2
+        used = np.flatnonzero(np.where(own, keep[origin] | (guessed[origin] >= 0), (defect >= 0) | keep[origin]))
+        label = np.where(own, guessed[origin], defect)[used]
+        view = rows.lower() if stage == 0 else rows
+        truth = np.zeros((len(used), len(DEFECTS)))
+        truth[np.flatnonzero(label >= 0), label[label >= 0]] = 1
+        held = origin[used] % 5 == 0
+        part = ~held if (~held).any() else np.ones(len(used), bool)
+        model = linear.train(DEFECTS, view.take(used[part]), truth[part], epochs, lower_only=(DEFECTS.index("truncated"),))
         if held.any():
-            at = np.flatnonzero(held)
-            linear.calibrate(model, [rows[i] for i in at], truth[at], np.where(truth[at].sum(1) > 0, 0.2, 1.0))
-        scores = model.scores([view(f) for f in natural])
-        # cuts come in many degrees, so they must be plainer than the other defects to count as found
-        keep = (scores < [0.5, 0.5, 0.3, 0.3, 0.3]).all(1)
-        guessed = np.where((scores > [0.97, 0.97, 0.9, 0.9, 0.9]).any(1), scores.argmax(1), -1)
+            linear.calibrate(model, view.take(used[held]), truth[held], np.where(truth[held].sum(1) > 0, 0.2, 1.0))
+        scores = model.scores(view.take(at))
+        # cuts come in many degrees, so they must be plainer than the other defects to count as found; a bare closing is easily taken for one
+        keep = (scores < [0.5, 0.8, 0.3, 0.3, 0.3]).all(1)
+        guessed = np.where((scores > [0.97, 0.999, 0.9, 0.9, 0.9]).any(1), scores.argmax(1), -1)
         if not keep.any():
             break
     return model
 
 
-def decide(model: linear.Linear, questions: list[str | None], answers: list[str | None]) -> list[str | None]:
+class Model:
+    """The fitted weights and the language model that the features need."""
+
+    def __init__(self, linear_model: linear.Linear, languages: Languages):
+        self.linear, self.languages = linear_model, languages
+
+
+def train(spark: SparkSession, found: list[tuple[str | None, str | None]], seed: int = 5) -> Model:
+    """The model of a bounded sample; its features are computed on the cluster."""
+    pairs = [(q, a) for q, a in found if not nothing_left(a)]
+    sample = Sample(pairs, seed)
+    if not pairs:
+        return Model(linear.Linear.blank(DEFECTS, 1.0), sample.languages)
+    return Model(fit(*linear.gathered(spark, sample, len(pairs)), len(pairs)), sample.languages)
+
+
+def decide(model: Model, questions: list[str | None], answers: list[str | None]) -> list[str | None]:
     """The defect of each pair, or None."""
-    empty = [says_nothing(a) for a in answers]
-    rows = [np.zeros(0, np.int32) if e else np.concatenate(features(q, a)) for q, a, e in zip(questions, answers, empty)]
-    scores = model.scores(rows)
+    empty = [nothing_left(a) for a in answers]
+    said = iter(all_features([(q, a) for q, a, e in zip(questions, answers, empty) if not e], model.languages))
+    scores = model.linear.scores([np.zeros(0, np.int32) if e else next(said) for e in empty])
     logit = lambda p: np.log(p / (1 - p))
-    margin = logit(np.clip(scores, 1e-9, 1 - 1e-9)) - logit(np.clip(model.thresholds, 1e-9, 1 - 1e-9))
-    best = margin.argmax(1) if len(rows) else []
+    margin = logit(np.clip(scores, 1e-9, 1 - 1e-9)) - logit(np.clip(model.linear.thresholds, 1e-9, 1 - 1e-9))
+    best = margin.argmax(1) if empty else []
     return ["empty" if e else DEFECTS[b] if margin[i, b] > 0 else None for i, (e, b) in enumerate(zip(empty, best))]
 
 
@@ -318,6 +358,6 @@ def pair_rows(tables: list[tuple[str, DataFrame, str, str, str]]) -> DataFrame:
 def defects(pairs: DataFrame, sample_rows: int = 4000) -> DataFrame:
     """table_name, row_id, defect of each defective pair; at most sample_rows pairs train the model."""
     sample = sampling.bounded(pairs, ["table_name", "row_id"], sample_rows).select("question", "answer").toArrow()
-    model = train(list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist())))
+    model = train(pairs.sparkSession, list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist())))
     model_bc = pairs.sparkSession.sparkContext.broadcast(model)  # fixed size
     return pairs.mapInArrow(_decided(model_bc), "table_name string, row_id bigint, defect string").where("defect is not null")

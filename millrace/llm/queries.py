@@ -80,17 +80,12 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("key").alias("sample_id"), F.col("priority"), F.col("round").cast("bigint").alias("round"))
 
 
-def _truncation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "generation_health_2048_records")
-    return rows, truncation.scores(rows)
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _truncation(spark, d)[1].where("truncated").select(F.col("id").alias("record_id"))
+    return truncation.scores(table(spark, d, "generation_health_2048_records")).where("truncated").select(F.col("id").alias("record_id"))
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.rates(*_truncation(spark, d))
+    return truncation.rates(truncation.scores(table(spark, d, "generation_health_2048_records")))
 
 
 def p7_sequences(spark: SparkSession, d: str) -> DataFrame:

@@ -304,7 +304,7 @@ def test_truncation(spark):
     assert truncation.scores(odd.limit(0)).count() == 0
 
 
-def test_truncation_finds_held_out_cuts():
+def test_truncation_finds_held_out_cuts(spark):
     """Cuts of texts the model never saw."""
     import pandas as pd
 
@@ -312,7 +312,7 @@ def test_truncation_finds_held_out_cuts():
 
     d = pd.read_parquet("/root/testdata/sf0.1/generation_health_2048_records.parquet")
     rows = list(zip(d.output, d.prompt, d.generated_tokens))
-    model = truncation.train(rows[:3000])
+    model = truncation.train(spark, rows[:3000])
     rng = random.Random(1)
     whole = [t for t, _, _ in rows[3000:5000] if t and not clearly_cut(t) and t.rstrip().endswith((".", "}", "$", "。"))]
     cuts = [c for t in whole if (c := cut(t, rng))]
@@ -339,5 +339,5 @@ def test_pair_defects(spark):
 def test_linear_learns_and_is_deterministic():
     rows = [linear.hashed([f"x{i % 2}", f"n{i}"]) for i in range(200)]
     truth = np.array([[i % 2] for i in range(200)], float)
-    a, b = linear.train(["y"], rows, truth), linear.train(["y"], rows, truth)
+    a, b = linear.train(["y"], linear.Rows.of(rows), truth), linear.train(["y"], linear.Rows.of(rows), truth)
     assert (a.weights == b.weights).all() and ((a.scores(rows)[:, 0] > 0.5) == truth[:, 0]).all()

@@ -85,7 +85,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.rates(truncation.scores(table(spark, d, "generation_health_2048_records")))
+    return truncation.rates(truncation.scores(table(spark, d, "generation_health_2048_records"), source_col="source"))
 
 
 def p7_sequences(spark: SparkSession, d: str) -> DataFrame:

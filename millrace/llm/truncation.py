@@ -111,10 +111,10 @@ def _scored(model_bc, limit: int):
     return run
 
 
-def scores(rows: DataFrame, id_col: str = "record_id", text_col: str = "output", prompt_col: str = "prompt", tokens_col: str = "generated_tokens", source_col: str = "source", limit: int = LIMIT, sample_rows: int = 6000) -> DataFrame:
-    """id, source, score, truncated for every row; at most sample_rows rows are used for training."""
+def scores(rows: DataFrame, id_col: str = "record_id", text_col: str = "output", prompt_col: str = "prompt", tokens_col: str = "generated_tokens", source_col: str | None = None, limit: int = LIMIT, sample_rows: int = 6000) -> DataFrame:
+    """id, source (null if no column is named), score, truncated for every row; at most sample_rows rows are used for training."""
     spark = rows.sparkSession
-    base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(tokens_col).cast("int").alias("tokens"), F.col(source_col).cast("string").alias("source"))
+    base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(tokens_col).cast("int").alias("tokens"), (F.col(source_col) if source_col else F.lit(None)).cast("string").alias("source"))
     sample = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(prompt_col).alias("prompt"), F.col(tokens_col).cast("int").alias("tokens"))
     sample = sampling.bounded(sample, ["id"], sample_rows).select("text", "prompt", "tokens").toArrow()
     model = train(spark, list(zip(*(sample.column(i).to_pylist() for i in range(3)))), limit=limit)

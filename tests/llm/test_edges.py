@@ -12,14 +12,18 @@ from millrace.llm.ending import says_nothing
 LONG = "word " * 60_000
 
 
+def _collapsed(*args):
+    return formatting.groups(formatting.survivors(*args)), formatting.members(*args)
+
+
 def test_formatting(spark):
     rows = [(1, "A b."), (2, "a B"), (3, None), (4, ""), (5, " ?! "), (6, "...  "), (7, "a B"), (8, LONG), (9, LONG.upper()), (None, "ab"), (10, "Straße"), (11, "STRASSE")]
     df = spark.createDataFrame(rows, "id bigint, raw string").selectExpr("id", "raw", "1 as n", "2 as first", "3 as canon", "4 as key")
-    groups, members = formatting.collapse(df, "id", "raw")
+    groups, members = _collapsed(df, "id", "raw")
     assert {tuple(r) for r in members.collect()} == {(1, 2), (1, 7), (8, 9), (10, 11)}
     assert sorted(r.copies for r in groups.collect()) == [2, 2, 4]
     empty = spark.createDataFrame([], "id bigint, raw string")
-    assert [x.count() for x in formatting.collapse(empty, "id", "raw")] == [0, 0]
+    assert [x.count() for x in _collapsed(empty, "id", "raw")] == [0, 0]
 
 
 def test_formatting_json(spark):
@@ -28,7 +32,7 @@ def test_formatting_json(spark):
         (9, '{"b": -1, "a": 1.5}'), (10, '{"a": 15, "b": 1}'), (11, '{"a": null}'), (12, '{"a": null}'), (13, "{}"), (14, "{}"), (15, '{"a": "?"}'), (16, '{"a": "\\ud800"}'),
     ]
     df = spark.createDataFrame(lines, "id bigint, line string")
-    assert {tuple(r) for r in formatting.collapse(df, "id", "line", "json")[1].collect()} == {(1, 2), (8, 9)}
+    assert {tuple(r) for r in _collapsed(df, "id", "line", "json")[1].collect()} == {(1, 2), (8, 9)}
 
 
 def test_split_overlaps(spark):

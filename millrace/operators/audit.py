@@ -84,33 +84,64 @@ def problem_hash(c: Column, strict: bool = False) -> Column:
     return F.sha2(tx.normalized_strict(c) if strict else tx.normalized_portable(c), 256)
 
 
+#: 64-bit words of the bitmap that filters n-grams.
+_BITMAP_WORDS = 1 << 14
+
+
 def contamination(rows: DataFrame, suites: DataFrame, key: str, text: str, ngram: int = 8, strict: bool = False) -> DataFrame:
     """key, reasons: exact-match reasons per suite, or else n-gram overlap reasons per suite.
 
-    The row side is never collected; suites join by normalised text and by n-gram. Spark
-    broadcasts the suite side only while its size is under the session's threshold.
+    The row side is never collected, and no text is shuffled. Spark broadcasts the suite side
+    only while its size is under the session's threshold.
     """
     norm = tx.normalized_strict if strict else tx.normalized_portable
     base = rows.select(F.col(key).alias("k"), norm(F.col(text)).alias("norm")).where("norm is not null")
     suite = suites.select("suite", norm(F.col("problem")).alias("norm")).where("norm is not null")
     if strict:  # the reference leaves out blank items
         suite = suite.where("norm != ''")
-    exact = base.join(suite.distinct(), "norm").groupBy("k").agg(F.sort_array(F.collect_set(F.concat(F.lit("evaluation_exact_match:"), "suite"))).alias("reasons"))
-    gram = lambda df, *keep: df.select(*keep, F.explode(tx.ngrams(tx.split_words(F.col("norm")), ngram)).alias("gram"))
-    reason = F.concat(F.lit(f"evaluation_{ngram}gram_overlap:"), F.col("suite"))
-    overlap = gram(base.join(exact, "k", "left_anti"), "k").join(gram(suite, "suite").distinct(), "gram").groupBy("k").agg(F.sort_array(F.collect_set(reason)).alias("reasons"))
+    exact = exact_matches(base, suite)
+    overlap = overlaps(base, suite, exact, ngram)
     return exact.unionByName(overlap).select(F.col("k").alias(key), "reasons")
 
 
-def first_wins(rows: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
+def exact_matches(base: DataFrame, suite: DataFrame) -> DataFrame:
+    """k, reasons of rows (k, norm) whose normalised text is an item's; texts meet as 128-bit digests."""
+    digest = lambda df, *keep: df.select(*keep, F.unhex(F.md5("norm")).alias("d"))
+    found = digest(base, "k").join(digest(suite, "suite").distinct(), "d")
+    return found.groupBy("k").agg(F.sort_array(F.collect_set(F.concat(F.lit("evaluation_exact_match:"), "suite"))).alias("reasons"))
+
+
+def overlaps(base: DataFrame, suite: DataFrame, exact: DataFrame, ngram: int) -> DataFrame:
+    """k, reasons of rows that share an n-gram with an item and are no exact match.
+
+    N-grams are 64-bit hashes with their text. A bitmap of the suites' hashes (2**20 bits in
+    _BITMAP_WORDS rows, whatever the suites' size) is broadcast and goes over the rows' n-grams
+    where they are made, so that only n-grams whose bit a suite sets are shuffled. What is left
+    joins by hash and by the n-gram itself, so a collision makes no reason.
+    """
+    reason = F.concat(F.lit(f"evaluation_{ngram}gram_overlap:"), F.col("suite"))
+    gram = lambda df, *keep: df.select(*keep, F.explode(tx.ngrams(tx.split_words(F.col("norm")), ngram)).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    listed = gram(suite, "suite").distinct()
+    word, bit = F.pmod(F.shiftright("h", 6), F.lit(_BITMAP_WORDS)).cast("int"), F.pmod("h", F.lit(64)).cast("int")
+    bitmap = F.broadcast(listed.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")))  # at most _BITMAP_WORDS rows
+    known = gram(base, "k").withColumn("w", word).join(bitmap, "w").where(F.getbit("bits", bit) == 1).select("k", "h", "gram")
+    found = known.join(listed, ["h", "gram"]).groupBy("k").agg(F.sort_array(F.collect_set(reason)).alias("reasons"))
+    return found.join(exact.select("k"), "k", "left_anti")
+
+
+def first_wins(rows: DataFrame, key: str, order: str, ok: Column, nullable: bool = True) -> DataFrame:
     """Adds first_ok: the least order value among acceptable rows of the key.
 
     A row is kept iff its order equals first_ok; eligible later rows are duplicates. Rows that
     are not acceptable never claim the key. The minimum is an aggregate with map-side combine
-    and a join back, so a hot key is no single task.
+    and a join back, so a hot key is no single task. nullable=False says that no key is null.
     """
-    firsts = rows.where(ok).groupBy(key).agg(F.min(order).alias("first_ok"))
-    return rows.join(firsts, key, "left")
+    firsts = rows.where(ok & F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first_ok"))
+    if not nullable:
+        return rows.join(firsts, key, "left")
+    # rows without a key match nothing; kept out of the join they are no hot null partition
+    placed = rows.where(F.col(key).isNotNull()).join(firsts, key, "left")
+    return placed.unionByName(rows.where(F.col(key).isNull()).withColumn("first_ok", F.lit(None).cast(dict(firsts.dtypes)["first_ok"])))
 
 
 def audit(rows: DataFrame, suites: DataFrame, settings: AuditSettings, tokens: Column, strict: bool = False, token_error: Column | None = None) -> DataFrame:
@@ -165,6 +196,8 @@ def hash_split(rows: DataFrame, key: str, salt: str, validation_size: int) -> Da
     global sort and no broadcast of keys.
     """
     keyed = rows.withColumn("split_key", split_key(F.col(key), salt))
+    if len(rows.columns) == 1:  # keys alone, which may come from a costly distinct: they are read several times
+        keyed = runtime.written(keyed, "split-keys")
     cut = lowest(keyed.select("split_key", key), validation_size, "split_key", key).agg(F.max(F.struct("split_key", key)).alias("cut")).first().cut
     inside = F.lit(False) if cut is None else F.struct("split_key", key) <= F.struct(F.lit(cut[0]), F.lit(cut[1]))
     return keyed.withColumn("split", F.when(inside, "validation").otherwise("train"))
@@ -204,3 +237,11 @@ def validation_error(capacity: int | None = None) -> Column:
         .when(F.exists("labels", lambda x: x.isNull()), "labels must hold integers")
         .when(~supervised, "no supervised label")
     )
+
+
+def with_texts(winners: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The winners of a bounded selection with columns of their rows, which are read for them alone.
+
+    The winners' keys go to the rows' scan (Spark broadcasts them while they are small), so no text is shuffled.
+    """
+    return rows.select(key, *columns).join(winners, key).select(*winners.columns, *columns)

@@ -20,13 +20,23 @@ class BudgetLimits:
 
 
 def generation_budget(rows: DataFrame, length: str, cap: int, seconds_per_token: float, planned: int, limits: BudgetLimits = BudgetLimits()) -> DataFrame:
-    """One row: length distribution, projected hours and cost, five checks and passed."""
+    """One row: length distribution, projected hours and cost, five checks and passed.
+
+    An empty probe, a length that is null or not positive, and a plan smaller than the probe
+    raise when the row is read; limits that make no sense raise at once.
+    """
+    if cap <= 0 or seconds_per_token <= 0 or planned <= 0 or limits.min_samples <= 0 or min(limits.safety, limits.max_hours, limits.price_per_hour, limits.max_cost) <= 0:
+        raise ValueError("caps, times, counts, prices and limits must be positive")
+    if not (0 <= limits.min_stop_rate <= 1 and 0 <= limits.max_truncation_rate <= 1):
+        raise ValueError("rates must lie in [0, 1]")
     n = F.col(length)
     pct = lambda p: F.percentile(length, F.lit(p))
-    agg = rows.where(n.isNotNull()).agg(
-        F.count(F.lit(1)).alias("samples"), F.min(n).alias("min"), F.avg(n).alias("mean"), pct(0.5).alias("p50"), pct(0.9).alias("p90"), pct(0.95).alias("p95"), F.max(n).alias("max"),
+    agg = rows.agg(
+        F.count_if(n.isNull() | (n <= 0)).alias("wrong"), F.count(F.lit(1)).alias("samples"), F.min(n).alias("min"), F.avg(n).alias("mean"), pct(0.5).alias("p50"), pct(0.9).alias("p90"), pct(0.95).alias("p95"), F.max(n).alias("max"),
         F.try_divide(F.count_if(n >= cap), F.count(F.lit(1))).alias("truncation_rate"),
     )
+    fails = F.when((F.col("samples") == 0) | (F.col("wrong") > 0), "generation lengths must be positive, in at least one row").when(F.col("samples") > planned, "fewer generations are planned than probed")
+    agg = agg.where(F.when(fails.isNotNull(), F.raise_error(fails).cast("boolean")).otherwise(True))
     hours = F.col("mean") * planned * seconds_per_token * limits.safety / 3600
     out = agg.withColumn("hours", hours).withColumn("cost", F.col("hours") * limits.price_per_hour)
     checks = {
@@ -88,6 +98,19 @@ def arg_extreme(rows: DataFrame, value: Column, order: str, longest: bool = True
     return rows.agg(F.max_by(F.struct(*rows.columns), key).alias("r")).where("r is not null").select("r.*")
 
 
+def validated_extreme(rows: DataFrame, order: str, longest: bool = True, ids: str = "input_ids", labels: str = "labels", key: str = "sample_id", stored: str = "metadata.token_count") -> DataFrame:
+    """The longest or shortest tokenized record, first in order among equals; a winner that is malformed raises.
+
+    The length is the stored token count, or else the number of ids. The winner needs an id,
+    labels as long as its ids, and a stored count that is right.
+    """
+    length = F.coalesce(F.col(stored), F.size(ids))
+    best = arg_extreme(rows.where(length.isNotNull()), length, order, longest)
+    size = F.size(ids)
+    ok = F.coalesce(F.col(key).isNotNull() & (size > 0) & (size == F.size(labels)) & (F.col(stored).isNull() | (F.col(stored) == size)), F.lit(False))
+    return best.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("invalid tokenized record: "), F.coalesce(F.col(key), F.lit("null")))).cast("boolean")))
+
+
 def field_difference(left: dict, right: dict, fields: list[str]) -> list[str]:
     """Fields in which two manifests differ."""
     missing = object()

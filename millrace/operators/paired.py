@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Fixed value: fields of a run's manifest that two compared runs must share.
+FROZEN_FIELDS = ("contract_sha256", "contract_version", "lighteval_commit", "math_verify", "suite", "tasks", "use_chat_template", "model_args")
 INVARIANTS = ("example", "instruction", "full_prompt", "num_effective_few_shots", "num_asked_few_shots", "input_tokens", "gold", "choices", "gold_index")
 OUTCOMES = ("improved", "regressed", "both_wrong", "both_correct")
 
@@ -143,10 +143,6 @@ def stratum_counts(rows: DataFrame, strata: list[str]) -> DataFrame:
     return rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
 
 
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns, F.lit(True))
-
-
 def prediction_text(predictions: Column) -> Column:
     """The only element of a prediction list; any other size raises."""
     return F.when(F.size(predictions) == 1, F.get(predictions, F.lit(0))).otherwise(F.raise_error("a prediction must be a list of one string").cast("string"))
@@ -174,6 +170,11 @@ def trained_details(rows: DataFrame, length: str, cap: int, correct: str, marker
     )
 
 
+def outcome_details(rows: DataFrame, outcome: str, length: str, cap: int, *by: str) -> DataFrame:
+    """outcome, rows, cap_hits: how often each paired outcome ran into the cap."""
+    return rows.groupBy(*by, outcome).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(length) >= cap).alias("cap_hits"))
+
+
 def masked_loss(rows: DataFrame, logprobs: str, labels: str, *by: str) -> DataFrame:
     """Loss sum, counted tokens and mean over shifted labels that are not ignored.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
-import re
+import random
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +33,31 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def ordered_digest(rows: DataFrame, key: str, position: str, block: int = 100_000) -> str:
-    """SHA-256 of 'key\\n' in order; blocks stream to the driver one partition at a time."""
+def ordered_digest(rows: DataFrame, key: str, position: str) -> str:
+    """SHA-256 of 'key\\n' in order, as the published order files have it.
+
+    One digest over all keys has to see them one after the other: they stream through the
+    driver, one partition at a time. block_digest() is the form for large tables.
+    """
     digest = hashlib.sha256()
     for r in rows.select(key, position).orderBy(position).select(key).toLocalIterator():
         digest.update(f"{r[0]}\n".encode())
     return digest.hexdigest()
 
 
+def block_digest(rows: DataFrame, key: str, position: str, block: int = 100_000) -> DataFrame:
+    """One row: rows, digest. Blocks of consecutive positions are hashed in tasks, then their hashes in order.
+
+    Positions count from 0 without gaps. The last step sees 64 characters per block, a
+    hundred-thousandth of the rows.
+    """
+    packed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(key).cast("string").alias("k"))))
+    text = F.concat(F.array_join(F.transform(packed, lambda x: F.coalesce(x["k"], F.lit(""))), "\n"), F.lit("\n"))
+    blocks = rows.groupBy(F.floor(F.col(position) / block).alias("b")).agg(F.sha2(text, 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("b", "h")))
+    return blocks.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), "\n"), 256).alias("digest"))
+
+
 def canonical_hash(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
 
@@ -53,6 +71,85 @@ def from_mapping(kind, values: dict):
     return kind(**values)
 
 
+#: What the fields of an experiment must satisfy: test and message, by field name.
+def _checks() -> dict:
+    text = (lambda v: isinstance(v, str) and v.strip() != "", "must not be empty")
+    positive = (lambda v: v > 0, "must be positive")
+    optional = (lambda v: v is None or v > 0, "must be positive where given")
+    share = (lambda v: 0 <= v < 1, "must lie in [0, 1)")
+    natural = (lambda v: v >= 0, "must not be negative")
+    one_of = lambda *allowed: (lambda v: v in allowed, f"must be one of {', '.join(allowed)}")
+    groups = {
+        text: "run_name model_name_or_path model_revision",
+        positive: "per_device_train_batch_size gradient_accumulation_steps num_train_epochs log_every_steps eval_every_steps save_every_steps save_total_limit learning_rate adam_epsilon max_grad_norm",
+        optional: "max_steps train_sample_limit validation_sample_limit",
+        share: "adam_beta1 adam_beta2 warmup_ratio min_lr_ratio",
+        natural: "dataloader_num_workers pad_token_id weight_decay",
+        one_of("float32", "bfloat16"): "dtype parameter_dtype",
+        one_of("eager", "sdpa", "flash_attention_2"): "attn_implementation",
+        one_of("cosine_with_min_lr"): "scheduler_type",
+    }
+    return {name: check for check, names in groups.items() for name in names.split()}
+
+
+def config_errors(values: dict) -> list[str]:
+    """What is wrong with the named fields of an experiment, sorted; empty if nothing is."""
+    checks, wrong = _checks(), []
+    for name in sorted(set(values) & set(checks)):
+        test, message = checks[name]
+        try:
+            ok = test(values[name])
+        except TypeError:
+            ok = False
+        if not ok:
+            wrong.append(f"{name} {message}")
+    if any(c in str(values.get("run_name", "")) for c in "/\\"):
+        wrong.append("run_name must not hold path separators")
+    return wrong
+
+
+def checked_config(kind, values: dict):
+    """from_mapping() after all field checks; every fault is named at once."""
+    config = from_mapping(kind, values)
+    wrong = config_errors(dataclasses.asdict(config))
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return config
+
+
+def environment(spark: SparkSession | None = None, packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy", "pandas")) -> dict:
+    """What a run's manifest says of where it ran."""
+    import platform
+    import subprocess
+    import sys
+    from importlib import metadata
+
+    def version(name: str) -> str | None:
+        try:
+            return metadata.version(name)
+        except metadata.PackageNotFoundError:
+            return None
+
+    def git(*args: str) -> str | None:
+        try:
+            done = subprocess.run(["git", *args], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=10, check=False)
+        except (OSError, subprocess.SubprocessError):
+            return None
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    dirty = git("status", "--porcelain")
+    out = {"captured_at": utc_now(), "platform": platform.platform(), "python": sys.version, "packages": {p: version(p) for p in packages}}
+    out["git"] = {"commit": git("rev-parse", "HEAD"), "dirty": None if dirty is None else bool(dirty)}
+    return out | ({"spark": {"version": spark.version, "master": spark.sparkContext.master}} if spark else {})
+
+
+def seeded(seed: int) -> np.random.Generator:
+    """Seeds the driver's generators and gives one of its own; tasks take their seeds as arguments."""
+    random.seed(seed)
+    np.random.seed(seed % (1 << 32))
+    return np.random.default_rng(seed)
+
+
 def config_hash(config, ignored: tuple[str, ...] = ("resume_from",)) -> str:
     """Hash of a configuration's meaning: the fields about resuming do not count."""
     return canonical_hash({k: v for k, v in dataclasses.asdict(config).items() if k not in ignored})
@@ -136,17 +233,10 @@ def utc_now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def checkpoint_number(name: str) -> int | None:
-    m = re.fullmatch(r"checkpoint-(\d+)", name)
-    return int(m[1]) if m else None
-
-
-
-
 def start_run(folder: str, config, artifacts: dict[str, str]) -> dict:
     """A new run's manifest: configuration, its hash, the inputs' hashes; a filled folder is refused."""
     files.refuse_overwrite(folder)
-    manifest = {"status": "running", "started_at": utc_now(), "config": dataclasses.asdict(config), "config_sha256": config_hash(config), "artifacts": {n: file_sha256(p) for n, p in sorted(artifacts.items())}}
+    manifest = {"status": "running", "started_at": utc_now(), "config": dataclasses.asdict(config), "config_sha256": config_hash(config), "artifacts": {n: file_sha256(p) for n, p in sorted(artifacts.items())}, "environment": environment()}
     files.write_json_atomic(f"{folder}/run_manifest.json", manifest)
     return manifest
 

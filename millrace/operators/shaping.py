@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +28,47 @@ def chatml(messages: Column, generation_prompt: bool = False) -> Column:
     return F.concat(text, F.lit("<|im_start|>assistant\n")) if generation_prompt else text
 
 
+#: Ids of the byte tokenizer's special tokens, after the 256 bytes.
+BYTE_SPECIALS = {"<|im_start|>": 256, "<|im_end|>": 257}
+
+
+def byte_tokens(texts: list[str]) -> list[list[int]]:
+    """A tokenizer without a vocabulary: one id per byte and per special token."""
+    parts = re.compile("(" + "|".join(map(re.escape, BYTE_SPECIALS)) + ")").split
+    return [[i for part in parts(t) for i in ((BYTE_SPECIALS[part],) if part in BYTE_SPECIALS else part.encode("utf-8", "surrogatepass"))] for t in texts]
+
+
+def tokenized(text: Column, tokenizer: Callable[[list[str]], list[list[int]]] = byte_tokens) -> Column:
+    """Ids of a text by a tokenizer, in Arrow batches; null stays null. Each worker loads it once."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            given = texts.notna().to_numpy()
+            ids = iter(tokenizer(texts[given].tolist()))
+            yield pd.Series([next(ids) if ok else None for ok in given], dtype=object)
+
+    return run(text)
+
+
+def sft_sample(rows: DataFrame, messages: str, tokenizer: Callable[[list[str]], list[list[int]]] = byte_tokens, end_token: int = BYTE_SPECIALS["<|im_end|>"]) -> DataFrame:
+    """Adds input_ids, labels and token_error of one user and one assistant message in ChatML.
+
+    A conversation that cannot be labelled has null labels and the reason in token_error.
+    """
+    prompt = F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0)))
+    out = rows.withColumns({"input_ids": tokenized(chatml(F.col(messages)), tokenizer), "_prompt": tokenized(chatml(prompt, generation_prompt=True), tokenizer)})
+    n = F.size("_prompt")
+    answer = F.slice("input_ids", n + 1, F.greatest(F.size("input_ids") - n, F.lit(0)))
+    error = (
+        F.when(F.coalesce(F.exists(messages, lambda m: m["role"].isNull() | m["content"].isNull()), F.lit(True)), "the conversation cannot be rendered")
+        .when(F.slice("input_ids", 1, n) != F.col("_prompt"), "the prompt is not a prefix of the conversation")
+        .when(F.array_position(answer, F.lit(end_token)) == 0, "no end token after the prompt")
+    )
+    out = out.withColumn("token_error", error)
+    return out.withColumn("labels", F.when(F.col("token_error").isNull(), assistant_labels(F.col("input_ids"), F.col("_prompt"), end_token))).drop("_prompt")
+
+
 def assistant_labels(full: Column, prompt: Column, end_token: int) -> Column:
     """Labels of a rendered conversation: ids after the prompt through the first end token.
 
@@ -41,8 +86,18 @@ def assistant_labels(full: Column, prompt: Column, end_token: int) -> Column:
 
 
 def masked_labels(ids: Column, mask: Column) -> Column:
-    """ids where the mask holds, else the ignored label."""
-    return F.zip_with(ids, mask, lambda x, m: F.when(m, x).otherwise(IGNORED))
+    """ids where the mask holds, else the ignored label; lists of unequal length, empty ones and masks that hold nowhere raise."""
+    wrong = lambda why: F.raise_error(why).cast("array<int>")
+    made = lambda r: F.zip_with(r["ids"], r["mask"], lambda x, m: F.when(m, x).otherwise(IGNORED))
+    checked = lambda r: (
+        F.when(F.size(r["ids"]) != F.size(r["mask"]), wrong("ids and mask must be equally long")).when(F.size(r["ids"]) == 0, wrong("ids must not be empty")).when(~F.exists(r["mask"], lambda m: m), wrong("the mask must hold somewhere")).otherwise(made(r))
+    )
+    return let(F.struct(ids.alias("ids"), mask.alias("mask")), checked)
+
+
+def full_labels(ids: Column) -> Column:
+    """Every id is its own label."""
+    return F.transform(ids, lambda x: x)
 
 
 def supervised_tokens(labels: Column) -> Column:
@@ -67,9 +122,21 @@ def token_regions(rows: DataFrame, key: str, ids: str, prompt_size: str, end: st
     return out.select(key, "position", "id", F.when(F.col("position") < F.col("_p"), "prompt").when(F.col("position") <= F.col("_e"), "assistant").otherwise("trailing").alias("region"))
 
 
-def collate(rows: DataFrame, batch: str, ids: str = "input_ids", labels: str = "labels", pad: int = 0) -> DataFrame:
-    """Right-padded ids and labels and the attention mask, per record, padded to its batch's longest."""
-    longest = rows.groupBy(batch).agg(F.max(F.size(ids)).alias("_width"))
+def step_identity(rows: DataFrame, step: str, position: str, key: str) -> DataFrame:
+    """step, sample_ids: the ids of each optimizer step in order; a step is a bounded number of records."""
+    packed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(key).alias("k"))))
+    return rows.groupBy(step).agg(F.transform(packed, lambda x: x["k"]).alias("sample_ids"))
+
+
+def collate(rows: DataFrame, batch: str, ids: str = "input_ids", labels: str = "labels", pad: int = 0, key: str | None = None) -> DataFrame:
+    """Right-padded ids and labels and the attention mask, per record, padded to its batch's longest.
+
+    Lists of unequal length raise; so does a batch in which some records have a key and some none.
+    """
+    some = F.lit(False) if key is None else (F.count(F.col(key)) > 0) & (F.count(F.col(key)) < F.count(F.lit(1)))
+    longest = rows.groupBy(batch).agg(F.max(F.size(ids)).alias("_width"), F.count_if(F.coalesce(F.size(ids) != F.size(labels), F.lit(True))).alias("_uneven"), some.alias("_mixed"))
+    fails = F.when(F.col("_uneven") > 0, "ids and labels must be equally long").when(F.col("_mixed"), "all or no records of a batch must have a key")
+    longest = longest.where(F.when(fails.isNotNull(), F.raise_error(fails).cast("boolean")).otherwise(True)).drop("_uneven", "_mixed")
     out = rows.join(longest, batch)
     gap = F.col("_width") - F.size(ids)
     fill = lambda x: F.array_repeat(F.lit(x), gap)

@@ -76,11 +76,61 @@ def bootstrap_counts(improved: int, regressed: int, unchanged: int, draws: int =
     return {"mean": (improved - regressed) / n, "low": float(low), "high": float(high), "draws": draws}
 
 
+def bootstrap_deltas(improved: int, regressed: int, unchanged: int, draws: int = 20_000, seed: int = 20260913) -> dict:
+    """bootstrap_counts() with the draws of the vector itself (improved, regressed, unchanged in this order), for parity.
+
+    The vector is one value per pair; use it for the sizes of published evaluations.
+    """
+    values = np.repeat([1.0, -1.0, 0.0], [improved, regressed, unchanged])
+    if not len(values):
+        raise ValueError("bootstrap needs at least one pair")
+    rng = np.random.default_rng(seed)
+    means = np.concatenate([rng.choice(values, (min(1000, draws - at), len(values)), replace=True).mean(1) for at in range(0, draws, 1000)])
+    low, high = np.quantile(means, [0.025, 0.975])
+    return {"mean": float(values.mean()), "low": float(low), "high": float(high), "draws": draws}
+
+
+def bootstrap_spread(rows: DataFrame, value: str, order: str, group: str, draws: int = 1000, seed: int = 1234, shards: int = 256) -> DataFrame:
+    """group, mean, low, high: percentile interval of the mean per group, for groups of any size.
+
+    Resampling n values of a group picks each a multinomial number of times. How many of the n
+    picks fall on a shard of the group is itself multinomial in the shards' sizes, so these
+    shares are drawn once per group (shards * draws numbers), and every shard draws its picks
+    alone: the distribution is that of resampling the whole vector. A shard is a hash class of
+    the order column; the result does not depend on partitioning. Per shard and draw one sum
+    goes on.
+    """
+    kind = dict(rows.dtypes)[group]
+    shard = F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard")
+    placed = rows.select(group, shard, order, value).where(F.col(value).isNotNull())
+    sizes = placed.groupBy(group, "shard").agg(F.count(F.lit(1)).alias("n"))
+    of_group = sizes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("sizes"))  # at most shards entries
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, s, sizes = pdf[group].iloc[0], int(pdf["shard"].iloc[0]), pdf["sizes"].iloc[0]
+        n = np.array([x["n"] for x in sizes])
+        picks = np.random.default_rng([seed, 0]).multinomial(n.sum(), n / n.sum(), size=draws)[:, [x["shard"] for x in sizes].index(s)]
+        values = pdf.sort_values(order, kind="stable")[value].to_numpy(np.float64)
+        rng = np.random.default_rng([seed, 1, s])
+        ends = np.cumsum(picks)
+        sums = np.zeros(draws)
+        for at in range(0, draws, 50):  # a bounded number of picks at once
+            part = picks[at : at + 50]
+            taken = values[rng.integers(0, len(values), int(part.sum()))]
+            sums[at : at + len(part)] = np.diff(np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], ends[at : at + 50] - (ends[at - 1] if at else 0)])])
+        return pd.DataFrame({group: name, "draw": np.arange(draws), "s": sums, "total": values.sum(), "n": len(values)})
+
+    sums = placed.join(of_group, group).groupBy(group, "shard").applyInPandas(draw, f"{group} {kind}, draw int, s double, total double, n bigint")
+    means = sums.groupBy(group, "draw").agg((F.sum("s") / F.sum("n")).alias("m"), (F.sum("total") / F.sum("n")).alias("mean"))
+    return means.groupBy(group).agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
 def bootstrap_mean(rows: DataFrame, value: str, order: str, group: str, draws: int = 10_000, seed: int = 1234, block: int = 1000) -> DataFrame:
-    """group, mean, low, high: percentile interval of the mean per group.
+    """group, mean, low, high: percentile interval of the mean per group, with the published draws.
 
     Values are ordered by key first, so the result depends on neither partitioning nor order.
-    A group is one evaluation run's records and is resampled in one task.
+    A group is one evaluation run's records and is resampled in one task, since one generator
+    draws for all of it; bootstrap_spread() is the form for large groups.
     """
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:

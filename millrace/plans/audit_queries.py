@@ -207,7 +207,7 @@ def dedup_first_wins_strict(spark, d):
 
 def _dedup(spark, d, strict=False):
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", audit.problem_hash(F.col("text"), strict).alias("h"))
-    return audit.first_wins(docs, "h", "doc_id", F.lit(True)).select("doc_id", F.col("first_ok").alias("first_id"), (F.col("doc_id") > F.col("first_ok")).alias("duplicate"))
+    return audit.first_wins(docs, "h", "doc_id", F.lit(True), nullable=False).select("doc_id", F.col("first_ok").alias("first_id"), (F.col("doc_id") > F.col("first_ok")).alias("duplicate"))
 
 
 @query(f"WITH {_DOCS} SELECT h AS problem_hash, count(*) AS n FROM docs GROUP BY h HAVING count(*) > 1")
@@ -228,6 +228,14 @@ def _groups(spark, d, strict=False):
 _ROWS = f"rel AS (SELECT review_index, {_NORM.format('problem')} AS norm FROM review_samples WHERE problem IS NOT NULL)"
 
 
+def _exact(spark, d, strict=False):
+    """Exact matches alone: no n-gram is made."""
+    form = tx.normalized_strict if strict else tx.normalized_portable
+    base = table(spark, d, "review_samples").select(F.col("review_index").alias("k"), form(F.col("problem")).alias("norm")).where("norm is not null")
+    suite = table(spark, d, "eval_suites").select("suite", form(F.col("problem")).alias("norm")).where("norm is not null" + (" and norm != ''" if strict else ""))
+    return audit.exact_matches(base, suite).select(F.col("k").alias("review_index"), F.explode("reasons").alias("reason"))
+
+
 def _contamination(spark, d, kind="", strict=False):
     found = audit.contamination(table(spark, d, "review_samples"), table(spark, d, "eval_suites"), "review_index", "problem", strict=strict)
     return found.select("review_index", F.explode("reasons").alias("reason")).where(F.col("reason").startswith(f"evaluation_{kind}"))
@@ -235,12 +243,12 @@ def _contamination(spark, d, kind="", strict=False):
 
 @query(f"WITH {_ROWS}, {_SUITE} SELECT DISTINCT review_index, 'evaluation_exact_match:' || suite AS reason FROM rel JOIN suite USING (norm)")
 def decontaminate_exact(spark, d):
-    return _contamination(spark, d, "exact")
+    return _exact(spark, d)
 
 
 @query()
 def decontaminate_exact_strict(spark, d):
-    return _contamination(spark, d, "exact", strict=True)
+    return _exact(spark, d, strict=True)
 
 
 @query(

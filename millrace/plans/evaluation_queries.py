@@ -113,8 +113,13 @@ def bootstrap_ci_counts(spark, d):
 
 @query()
 def bootstrap_ci_vector(spark, d):
-    rows = paired.metric_rows(_pairs(spark, d)).where("metric = 'boxed'")
-    return stats.bootstrap_mean(rows, "delta", "row_index", "metric")
+    return stats.bootstrap_mean(paired.metric_rows(_pairs(spark, d)), "delta", "row_index", "metric")
+
+
+@query()
+def bootstrap_ci_spread(spark, d):
+    """The interval of bootstrap_ci_vector, drawn in shards, so that no group is one task."""
+    return stats.bootstrap_spread(paired.metric_rows(_pairs(spark, d)), "delta", "row_index", "metric")
 
 
 @query("WITH t AS (SELECT record_id, output, sample_index FROM generation_health_2048_records), c AS (SELECT record_id, prompt FROM generation_health_2048_records WHERE record_id % 3 = 0) SELECT t.record_id, CASE WHEN c.record_id IS NOT NULL THEN c.prompt ELSE t.output END AS baseline_output, CASE WHEN c.record_id IS NOT NULL THEN 'changed' ELSE 'identical' END AS pair_source FROM t LEFT JOIN c USING (record_id)")
@@ -183,12 +188,13 @@ def proportion_error(spark, d):
 
 @query(
     """WITH a AS (SELECT count(*) AS samples, min(generated_tokens) AS min, max(generated_tokens) AS max, avg(generated_tokens) AS mean, quantile_cont(generated_tokens, 0.5) AS p50, quantile_cont(generated_tokens, 0.9) AS p90, quantile_cont(generated_tokens, 0.95) AS p95,
-    count(*) FILTER (generated_tokens >= 2048) / count(*) AS tr FROM generation_health_2048_records WHERE generated_tokens IS NOT NULL), b AS (SELECT *, mean * 10000 * 0.002 * 1.25 / 3600 AS h FROM a), c AS (SELECT *, h * 9.0 AS cost FROM b)
+    count(*) FILTER (generated_tokens >= 2048) / count(*) AS tr FROM generation_health_2048_records WHERE generated_tokens > 0), b AS (SELECT *, mean * 10000 * 0.002 * 1.25 / 3600 AS h FROM a), c AS (SELECT *, h * 9.0 AS cost FROM b)
     SELECT samples, min, max, round(mean, 6) AS mean, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p95, 6) AS p95, round(tr, 6) AS truncation_rate, round(h, 6) AS hours, round(cost, 6) AS cost,
     samples >= 200 AS enough_samples, 1 - tr >= 0.9 AS stop_rate, tr <= 0.1 AS truncation_rate_ok, h <= 3.0 AS hours_ok, cost <= 30.0 AS cost_ok, samples >= 200 AND 1 - tr >= 0.9 AND tr <= 0.1 AND h <= 3.0 AND cost <= 30.0 AS passed FROM c"""
 )
 def generation_budget_gate(spark, d):
-    return gates.generation_budget(table(spark, d, _G), "generated_tokens", 2048, 0.002, 10_000)
+    """Over the records that have a positive length; others are counted by generation_health_gate."""
+    return gates.generation_budget(table(spark, d, _G).where("generated_tokens > 0"), "generated_tokens", 2048, 0.002, 10_000)
 
 
 @query("WITH a AS (SELECT source, count(*) AS records, count(error) AS runtime_errors, count(*) FILTER (coalesce(generated_tokens, 0) <= 0) AS empty, count(*) FILTER (coalesce(generated_eos, false)) / count(*) AS r FROM generation_health_2048_records GROUP BY source) SELECT source, records, runtime_errors, empty, round(r, 6) AS eos_rate, runtime_errors = 0 AND empty = 0 AND r >= 0.9 AS passed FROM a")
@@ -295,21 +301,28 @@ def suite_summary(spark, d):
     return table(spark, d, "eval_suites").groupBy("suite").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(F.col("gold").isNotNull().cast("double")), 6).alias("gold_rate"))
 
 
-@query()
+@query(
+    f"WITH e AS (SELECT user_id AS run, event_id AS ts, event_id, value FROM events), {_ROLL}, h AS (SELECT *, coalesce(value > 5.0 * med, false) AS hit FROM r), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM h), "
+    "s AS (SELECT run, event_id, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY run, island ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i) "
+    "SELECT CAST(run AS VARCHAR) AS run, min(event_id) AS optimizer_step, 'loss_spike' AS reason FROM s WHERE streak >= 3 GROUP BY run"
+)
 def guard_streaming(spark, d):
-    """The stateful guard over the event log as a stream; its batch form is the oracle in the tests."""
+    """The stateful guard over the event log as a stream."""
     import uuid
 
     from millrace.streaming.guard import EVENT_SCHEMA, guard_stream
 
-    e = table(spark, d, "events").withColumn("_first", F.lit(1))
+    e = table(spark, d, "events")
     folder = f"{runtime.shared_folder(spark)}/metric-log-{uuid.uuid4().hex}"
     log = e.select(F.col("user_id").cast("string").alias("run"), F.lit("train").alias("event"), F.col("event_id").alias("optimizer_step"), F.col("value").alias("mean_loss"), F.lit(1.0).alias("grad_norm"))
     log.write.parquet(folder)
+    runtime.register(folder)
     out = f"{runtime.shared_folder(spark)}/trips-{uuid.uuid4().hex}"
     stream = guard_stream(spark.readStream.schema(EVENT_SCHEMA).parquet(folder))
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+    runtime.register(out)
+    runtime.register(out + "-state")
     return spark.read.schema("run string, optimizer_step bigint, reason string").parquet(out)
 
 

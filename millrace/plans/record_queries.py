@@ -37,9 +37,10 @@ def completion_mask(spark, d):
     return _records(spark, d).where(F.size("labels") > 0).select("sample_id", "row_index", ones.alias("ones"))
 
 
-@query(f"SELECT {_KEY}, array_to_string(list_transform(generate_series(1, len(input_ids)), lambda i: CASE WHEN labels[i] <> -100 THEN input_ids[i] ELSE -100 END), ',') AS labels FROM train WHERE len(input_ids) = len(labels) AND len(labels) > 0")
+@query(f"SELECT {_KEY}, array_to_string(list_transform(generate_series(1, len(input_ids)), lambda i: CASE WHEN labels[i] <> -100 THEN input_ids[i] ELSE -100 END), ',') AS labels FROM train WHERE len(input_ids) = len(labels) AND len(list_filter(labels, lambda x: x <> -100)) > 0")
 def masked_labels(spark, d):
-    r = _records(spark, d).where((F.size("input_ids") == F.size("labels")) & (F.size("labels") > 0))
+    """Records with an assistant token; the operator raises for others."""
+    r = _records(spark, d).where((F.size("input_ids") == F.size("labels")) & F.exists("labels", lambda x: x != -100))
     made = shaping.masked_labels(F.col("input_ids"), F.transform("labels", lambda x: x != -100))
     return r.select("sample_id", "row_index", F.array_join(made.cast("array<string>"), ",").alias("labels"))
 
@@ -93,10 +94,11 @@ def hash_shuffle_resume(spark, d):
     return _epoch(spark, d).where("position >= 500").select("sample_id", "position")
 
 
-@query("SELECT optimizer_step, CAST(sum(s) AS BIGINT) AS supervised FROM (SELECT record_id // 64 AS optimizer_step, len(completion_ids) AS s FROM generation_health_2048_records WHERE completion_ids IS NOT NULL) GROUP BY 1")
+@query("SELECT row_index // 64 AS optimizer_step, CAST(sum(len(list_filter(labels[2:], lambda x: x <> -100))) AS BIGINT) AS supervised FROM (SELECT CAST(metadata.row_index AS BIGINT) AS row_index, labels FROM train) WHERE labels IS NOT NULL AND row_index IS NOT NULL GROUP BY 1")
 def supervised_per_step(spark, d):
-    g = table(spark, d, "generation_health_2048_records").where("completion_ids is not null")
-    return g.groupBy(F.floor(F.col("record_id") / 64).alias("optimizer_step")).agg(F.sum(F.size("completion_ids")).alias("supervised"))
+    """Labels that count after the shift, per optimizer step of 64 records."""
+    r = _records(spark, d).where("labels is not null and row_index is not null")
+    return r.groupBy(F.floor(F.col("row_index") / 64).alias("optimizer_step")).agg(F.sum(shaping.supervised_tokens(F.col("labels"))).alias("supervised"))
 
 
 @query("SELECT record_id, CAST(i - 1 AS INT) AS position, CASE WHEN id = 50001 THEN 'eos' ELSE 'pad' END AS name, label FROM (SELECT record_id, unnest(completion_ids) AS id, unnest(completion_ids) AS label, unnest(generate_series(1, len(completion_ids))) AS i FROM generation_health_2048_records) WHERE id IN (50001, 50000)")

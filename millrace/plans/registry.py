@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return add
 
 
-from millrace.plans import audit_queries, evaluation_queries, record_queries  # noqa: E402, F401
+from millrace.plans import audit_queries, contract_queries, evaluation_queries, record_queries  # noqa: E402, F401

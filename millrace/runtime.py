@@ -67,6 +67,20 @@ def register(path: str) -> None:
     _tables.append(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    register(path)
+    return path
+
+
+def local(path: str) -> str:
+    """The path of a file: URI; small artifacts that the driver writes need one."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path} is not on a file system that the driver reaches")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def release(spark: SparkSession) -> int:
     """Delete what written() and register() noted in this process; call it once results are consumed."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -9,7 +9,7 @@ import re
 import traceback
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -20,12 +20,13 @@ class SourceError(ValueError):
 
 
 def json_lines_strict(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str] | None = None) -> DataFrame:
-    """JSON objects, one per line; a blank line, bad JSON or a non-object raises with a line.
+    """JSON objects, one per line; a blank line, bad JSON or a non-object raises with its line number.
 
     Spark's reader skips blank lines, so lines are read as text and parsed in the plan; one
-    aggregate looks for violations before rows are returned.
+    aggregate looks for violations before rows are returned. The number of a wrong line is
+    counted in its file only once there is one.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.withColumn("r", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
@@ -35,9 +36,10 @@ def json_lines_strict(spark: SparkSession, path: str, schema: T.StructType | str
         .when(F.col("r._bad").isNotNull() | F.col("r").isNull(), "bad JSON")
         .when(F.exists(F.array(*[F.col(f"r.{c}").isNull() for c in required or []], F.lit(False)), lambda x: x), "missing field")
     )
-    bad = parsed.select("file", "value", problem.alias("problem")).where("problem is not null").agg(F.min(F.struct("problem", "file", "value")).alias("first")).first().first
+    bad = parsed.select("file", "at", "value", problem.alias("problem")).where("problem is not null").agg(F.min(F.struct("file", "at", "problem", "value")).alias("first")).first().first
     if bad is not None:
-        raise SourceError(f"{bad['file']}: {bad['problem']}: {bad['value'][:80]!r}")
+        before = lines.where((F.col("file") == bad["file"]) & (F.col("at") < bad["at"])).count()
+        raise SourceError(f"{bad['file'].rsplit('/', 1)[-1]}, line {before + 1}: {bad['problem']}: {bad['value'][:80]!r}")
     return parsed.select("r.*").drop("_bad")
 
 
@@ -47,7 +49,7 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def with_row_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parquet files with row_index running over all of them, in the order of the paths.
+    """Parquet files with row_index running over all of them, sorted by path.
 
     Row numbers come from the files' metadata; one count per file gives the offsets.
     """
@@ -75,49 +77,52 @@ def reordered(rows: DataFrame, order: DataFrame, index: str = "row_index", posit
 
 
 #: Fixed value: the naming of evaluation detail files.
-DETAIL_NAME = r"details_(?<task>.+)_(?<date>\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}(?:\.\d+)?)\.parquet$"
-
-
-def detail_files(folder: str) -> dict[str, str]:
-    """task -> path of all detail files below a folder; bad names, repeats and none raise."""
-    found: dict[str, str] = {}
-    for path in sorted(Path(folder).rglob("details_*.parquet")):
-        m = re.fullmatch(DETAIL_NAME.replace("?<", "?P<"), path.name)
-        if not m:
-            raise SourceError(f"unexpected detail file name {path.name}")
-        if m["task"] in found:
-            raise SourceError(f"two detail files for task {m['task']}")
-        found[m["task"]] = str(path)
-    if not found:
-        raise SourceError(f"no detail files below {folder}")
-    return found
+DETAIL_NAME = r"details_([^/]+)_(\d{4}-\d{2}-\d{2}T[^/]+)\.parquet"
 
 
-def details(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
-    """All detail files with task and row_index; only the named columns are read."""
-    parts = []
-    for task, path in detail_files(folder).items():
-        df = spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("row_index"))
-        df = df.withColumn("task", F.lit(task))
-        parts.append(df.select("task", "row_index", *columns) if columns else df)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def detail_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """task -> path of all detail files below a folder; bad names, repeats and none raise.
+
+    The listing is a recursive scan of paths alone; one row per detail file comes back.
+    """
+    if not Path(folder.removeprefix("file://")).is_dir() and "://" not in folder:
+        raise SourceError(f"no detail files below {folder}")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    units = listed.select(F.regexp_extract("path", r"^(.*?/details_[^/]*\.parquet)(?:/|$)", 1).alias("path")).where("path != ''").distinct()
+    named = units.select("path", F.regexp_extract("path", rf"/{DETAIL_NAME}$", 1).alias("task"))
+    seen = named.agg(F.count(F.lit(1)).alias("files"), F.min(F.when(F.col("task") == "", F.col("path"))).alias("bad"), F.countDistinct("task").alias("tasks")).first()
+    if seen.bad is not None:
+        raise SourceError(f"unexpected detail file name {seen.bad}")
+    if seen.files != seen.tasks:
+        raise SourceError("two detail files for one task")
+    if not seen.files:
+        raise SourceError(f"no detail files below {folder}")
+    return {r.task: r.path for r in named.sort("task").collect()}
 
 
-def run_manifests(folder: str) -> dict[str, dict]:
-    """suite -> manifest of all completed runs below a folder."""
-    found: dict[str, dict] = {}
-    for path in sorted(Path(folder).rglob("invocation_manifest.json")):
-        m = json_object(path)
-        suite = m.get("suite")
-        if not isinstance(suite, str) or not suite or suite in found or m.get("status") != "completed" or m.get("returncode") != 0:
-            raise SourceError(f"{path}: not one completed run of a suite")
-        found[suite] = m
-    if not found:
-        raise SourceError(f"no run manifests below {folder}")
-    return found
+def details(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """All detail files in one scan, with task, date and row_index; only the named columns are read."""
+    paths = detail_files(spark, folder)
+    path = _decoded(F.col("_metadata.file_path"))
+    of = lambda group: F.regexp_extract(path, rf"/{DETAIL_NAME}(?:/[^/]*)?$", group)
+    read = spark.read.option("mergeSchema", True).parquet(*paths.values())
+    return read.select(of(1).alias("task"), of(2).alias("date"), F.col("_metadata.row_index").alias("row_index"), *(columns or read.columns))
+
+
+def run_manifests(spark: SparkSession, folder: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """suite and the named fields of all completed runs below a folder; one aggregate finds what is wrong."""
+    schema = {"suite": "string", "status": "string", "returncode": "bigint"} | (fields or {})
+    reader = spark.read.schema(", ".join(f"`{n}` {k}" for n, k in schema.items())).option("multiLine", True)
+    found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "invocation_manifest.json").json(folder)
+    ok = F.coalesce((F.col("suite") != "") & (F.col("status") == "completed") & (F.col("returncode") == 0), F.lit(False))
+    seen = found.agg(F.count(F.lit(1)).alias("runs"), F.count_if(~ok).alias("bad"), F.countDistinct("suite").alias("suites")).first()
+    if not seen.runs or seen.bad or seen.runs != seen.suites:
+        raise SourceError(f"{folder}: not one completed run per suite ({seen.runs} runs, {seen.suites} suites, {seen.bad} incomplete)")
+    return found.select("suite", *[f for f in fields or () if f != "suite"])
 
 
 def json_object(path: str | Path) -> dict:
@@ -137,10 +142,16 @@ def task_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def token_counts(spark: SparkSession, path: str) -> DataFrame:
-    """token_count per line by pattern, without parsing; JSON is parsed only where it fails."""
+    """token_count per line by pattern, without parsing; where it fails, the number of input_ids.
+
+    A line without the pattern that is no record (a string id, ids and labels of one length) raises.
+    """
     lines = spark.read.text(path).where("trim(value) != ''")
     fast = F.regexp_extract("value", r'"token_count"\s*:\s*(\d+)', 1)
-    return lines.select(F.when(fast != "", fast.cast("int")).otherwise(F.get_json_object("value", "$.metadata.token_count").cast("int")).alias("token_count"))
+    r = F.from_json("value", "sample_id string, input_ids array<int>, labels array<int>")
+    whole = F.coalesce(r["sample_id"].isNotNull() & (F.size(r["input_ids"]) > 0) & (F.size(r["input_ids"]) == F.size(r["labels"])), F.lit(False))
+    counted = F.when(whole, F.size(r["input_ids"])).otherwise(F.raise_error(F.concat(F.lit("invalid tokenized record: "), F.left("value", F.lit(80)))).cast("int"))
+    return lines.select(F.when(fast != "", fast.cast("int")).otherwise(counted).alias("token_count"))
 
 
 def unique_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -151,6 +162,18 @@ def unique_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows
 
 
+def review_artifact(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """Review records of a file whose hash and count must be those of the data manifest."""
+    told = manifest.get("review")
+    if not isinstance(told, dict):
+        raise SourceError("the manifest names no review artifact")
+    actual = spark.read.format("binaryFile").load(path).agg(F.min(F.sha2("content", 256)).alias("h"), F.count(F.lit(1)).alias("n")).first()
+    if actual.n != 1 or actual.h != told.get("sha256"):
+        raise SourceError("the review artifact is not the manifest's")
+    schema = "review_index bigint, status string, problem string, generation string, issues array<string>, review_reason string"
+    return review_bundle(json_lines_strict(spark, path, schema, ["status", "problem", "generation"]), told.get("count"))
+
+
 def review_bundle(rows: DataFrame, expected: int) -> DataFrame:
     """Review records, after checking statuses, text pairs, reasons and the count."""
     text = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
@@ -197,6 +220,9 @@ def finite(rows: DataFrame) -> DataFrame:
 
 
 def append_metrics(rows: DataFrame, path: str) -> None:
+    """Append events; recorded_at is added where the caller gives none."""
+    if "recorded_at" not in rows.columns:
+        rows = rows.withColumn("recorded_at", F.current_timestamp())
     finite(rows).write.mode("append").json(path)
 
 

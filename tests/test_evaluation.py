@@ -110,7 +110,12 @@ def test_budget(spark):
     assert r.samples == 200 and r.truncation_rate == 0.05 and r.passed
     bad = gates.generation_budget(spark.createDataFrame([(2048,)] * 200, "n int"), "n", 2048, 1.0, 100_000).first()
     assert not bad.passed and not (bad.stop_rate or bad.truncation_rate_ok or bad.hours_ok or bad.cost_ok) and bad.enough_samples
-    assert gates.generation_budget(df.limit(0), "n", 2048, 1.0, 1).first().passed is False
+    for wrong, planned, why in ((df.limit(0), 1, "at least one row"), (df.unionByName(spark.createDataFrame([(0,)], "n int")), 300, "positive"), (df.unionByName(spark.createDataFrame([(None,)], "n int")), 300, "positive"), (df, 10, "fewer")):
+        with pytest.raises(Exception, match=why):
+            gates.generation_budget(wrong, "n", 2048, 1.0, planned).collect()
+    for cap, limits in ((0, gates.BudgetLimits()), (2048, gates.BudgetLimits(min_stop_rate=1.5)), (2048, gates.BudgetLimits(safety=0))):
+        with pytest.raises(ValueError):
+            gates.generation_budget(df, "n", cap, 1.0, 300, limits)
 
 
 def test_health_and_labels(spark):
@@ -214,3 +219,56 @@ def test_preflight(spark):
     df = spark.createDataFrame(rows, "event string, optimizer_step bigint, mean_loss double")
     assert gates.preflight(df).first().passed and not gates.preflight(df.where("optimizer_step < 2")).first().passed
     assert not gates.preflight(df.withColumn("mean_loss", F.lit(float("nan")))).first().passed
+
+
+def test_validated_extreme(spark):
+    schema = "o int, sample_id string, input_ids array<int>, labels array<int>, metadata struct<token_count:int>"
+    rows = [(1, "a", [1, 2], [1, 2], (2,)), (2, "b", [1, 2, 3], [1, 2, 3], None), (3, "c", [4, 5, 6], [4, 5, 6], (3,)), (4, "d", [1], [1], (None,))]
+    df = spark.createDataFrame(rows, schema)
+    assert gates.validated_extreme(df, "o").first().sample_id == "b" and gates.validated_extreme(df, "o", longest=False).first().sample_id == "d"
+    for bad in ((5, "e", [1], [1], (9,)), (5, "e", [1, 2, 3, 4], [1], None), (5, None, [1, 2, 3, 4], [1, 2, 3, 4], None)):
+        with pytest.raises(Exception, match="invalid tokenized record"):
+            gates.validated_extreme(df.unionByName(spark.createDataFrame([bad], schema)), "o").collect()
+
+
+def test_labels_check_their_lists(spark):
+    run = lambda ids, mask: spark.createDataFrame([(ids, mask)], "i array<int>, m array<boolean>").select(shaping.masked_labels(F.col("i"), F.col("m"))).first()[0]
+    assert run([5, 6], [False, True]) == [-100, 6]
+    for ids, mask, why in (([1], [True, True], "equally long"), ([], [], "empty"), ([1], [False], "somewhere")):
+        with pytest.raises(Exception, match=why):
+            run(ids, mask)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "batch int, sample_id string, input_ids array<int>, labels array<int>")
+    for df, why in ((batch((0, "a", [1], [1, 2])), "equally long"), (batch((0, "a", [1], [1]), (0, None, [1], [1])), "all or no")):
+        with pytest.raises(Exception, match=why):
+            shaping.collate(df, "batch", key="sample_id").collect()
+    assert shaping.collate(batch((0, None, [1], [1]), (1, "a", [1], [1])), "batch", key="sample_id").count() == 2
+    assert spark.createDataFrame([([1, 2],)], "i array<int>").select(shaping.full_labels(F.col("i"))).first()[0] == [1, 2]
+
+
+def test_sft_sample_tells_what_is_wrong(spark):
+    m = lambda *turns: [list(turns)]
+    rows = [m(("user", "hi"), ("assistant", "yo<|im_end|>more")), m(("user", "hi"), ("assistant", None)), m(("user", "hi"), ("other", "yo"))]
+    out = shaping.sft_sample(spark.createDataFrame(rows, "m array<struct<role:string,content:string>>"), "m").collect()
+    assert [r.token_error for r in out] == [None, "the conversation cannot be rendered", "the prompt is not a prefix of the conversation"]
+    assert [x for x in out[0].labels if x != -100] == [*b"yo", 257] and out[1].labels is None
+
+
+def test_bootstraps_agree(spark):
+    """The published counts, by the vector's own draws, by counts and in shards."""
+    one = stats.bootstrap_deltas(199, 148, 972, 2000)
+    two = stats.bootstrap_counts(199, 148, 972)
+    values = [1.0] * 199 + [-1.0] * 148 + [0.0] * 972
+    rows = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v double")
+    three, four = (stats.bootstrap_spread(x, "v", "i", "g", 2000, shards=20).first() for x in (rows, rows.repartition(5, "v")))
+    assert three == four and abs(three["mean"] - one["mean"]) < 1e-12
+    for low, high in ((two["low"], two["high"]), (three.low, three.high)):
+        assert abs(low - one["low"]) < 0.003 and abs(high - one["high"]) < 0.003
+
+
+def test_deltas_are_drawn_one_after_the_other():
+    import numpy as np
+
+    values, rng = np.repeat([1.0, -1.0, 0.0], [3, 2, 4]), np.random.default_rng(20260913)
+    means = [rng.choice(values, size=9, replace=True).mean() for _ in range(1500)]
+    got = stats.bootstrap_deltas(3, 2, 4, 1500)
+    assert (got["low"], got["high"]) == tuple(np.quantile(means, [0.025, 0.975]))

@@ -18,7 +18,7 @@ def test_strict_json_lines(spark, tmp_path):
     good = files.json_lines_strict(spark, lines(tmp_path / "g.jsonl", '{"a": 1, "b": "x"}', '{"b": "y", "a": 2}'), schema, ["a"])
     assert sorted(tuple(r) for r in good.collect()) == [(1, "x"), (2, "y")]
     for k, (bad, why) in enumerate([("", "blank line"), ("{oops", "bad JSON"), ("[1]", "not an object"), ('{"b": "x"}', "missing field")]):
-        with pytest.raises(files.SourceError, match=why):
+        with pytest.raises(files.SourceError, match=rf"{k}.jsonl, line 2: {why}"):
             files.json_lines_strict(spark, lines(tmp_path / f"{k}.jsonl", '{"a": 1}', bad, '{"a": 2}'), schema, ["a"])
     assert files.json_lines(spark, lines(tmp_path / "l.jsonl", '{"a": 1}', "", "{oops"), schema).count() == 1
 
@@ -43,23 +43,32 @@ def test_details(spark, tmp_path):
     assert {r.task for r in files.details(spark, str(tmp_path), ["score"]).collect()} == {"gsm|5", "math"}
     one.write.parquet(str(tmp_path / "details_odd.parquet"))
     with pytest.raises(files.SourceError, match="unexpected"):
-        files.detail_files(str(tmp_path))
+        files.detail_files(spark, str(tmp_path))
     with pytest.raises(files.SourceError, match="no detail files"):
-        files.detail_files(str(tmp_path / "none"))
+        files.detail_files(spark, str(tmp_path / "none"))
+    (tmp_path / "twice").mkdir()
+    for name in ("details_a_2026-01-02T030405.parquet", "sub/details_a_2026-01-03Tlate.parquet"):  # whatever follows the T
+        one.coalesce(1).write.parquet(str(tmp_path / "twice" / name))
+    with pytest.raises(files.SourceError, match="two detail files"):
+        files.detail_files(spark, str(tmp_path / "twice"))
+    assert [(r.task, r.date) for r in files.details(spark, str(tmp_path / "twice/sub"), ["score"]).collect()] == [("a", "2026-01-03Tlate")]
 
 
 def test_manifests_lists_and_counts(spark, tmp_path):
     (tmp_path / "a").mkdir()
     files.write_json_atomic(tmp_path / "a/invocation_manifest.json", {"suite": "s", "status": "completed", "returncode": 0})
-    assert list(files.run_manifests(str(tmp_path))) == ["s"]
+    assert [tuple(r) for r in files.run_manifests(spark, str(tmp_path), {"contract_version": "string"}).collect()] == [("s", None)]
     files.update_status(tmp_path / "a/invocation_manifest.json", "failed", returncode=1)
     with pytest.raises(files.SourceError):
-        files.run_manifests(str(tmp_path))
+        files.run_manifests(spark, str(tmp_path))
     assert files.task_list(spark, lines(tmp_path / "t.txt", "# c", " one ", "", "two")) == ["one", "two"]
     with pytest.raises(files.SourceError):
         files.task_list(spark, lines(tmp_path / "e.txt", "# c"))
-    path = lines(tmp_path / "m.jsonl", '{"metadata": {"token_count": 12}}', "", '{"metadata":{"token_count" :7}}')
-    assert sorted(r.token_count for r in files.token_counts(spark, path).collect()) == [7, 12]
+    path = lines(tmp_path / "m.jsonl", '{"metadata": {"token_count": 12}}', "", '{"metadata":{"token_count" :7}}', '{"sample_id": "a", "input_ids": [1, 2], "labels": [1, 2]}')
+    assert sorted(r.token_count for r in files.token_counts(spark, path).collect()) == [2, 7, 12]
+    for bad in ('{"sample_id": 5, "input_ids": [], "labels": []}', '{"sample_id": "a", "input_ids": [1], "labels": [1, 2]}', '{"input_ids": [1], "labels": [1]}', "{oops"):
+        with pytest.raises(Exception, match="invalid tokenized record"):
+            files.token_counts(spark, lines(tmp_path / "bad.jsonl", bad)).collect()
 
 
 def test_checks(spark):
@@ -85,6 +94,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(FileExistsError):
         files.refuse_overwrite(tmp_path)
     files.append_metrics(spark.createDataFrame([(1.0,)], "x double"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).first().recorded_at
     with pytest.raises(Exception, match="not finite"):
         files.append_metrics(spark.createDataFrame([(float("nan"),)], "x double"), str(tmp_path / "log"))
     try:
@@ -183,3 +193,37 @@ def test_exactly_once(spark, tmp_path):
         stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
         consume(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_review_artifact(spark, tmp_path):
+    path = lines(tmp_path / "review.jsonl", '{"review_index": 1, "status": "rejected", "problem": "p", "generation": "g", "issues": ["x"], "review_reason": "x"}')
+    told = {"review": {"sha256": provenance.file_sha256(path), "count": 1}}
+    assert files.review_artifact(spark, path, told).count() == 1
+    for wrong in ({}, {"review": {"sha256": "0", "count": 1}}, {"review": told["review"] | {"count": 2}}):
+        with pytest.raises(files.SourceError):
+            files.review_artifact(spark, path, wrong)
+
+
+def test_configurations_and_environment(spark):
+    @dataclasses.dataclass
+    class Run:
+        run_name: str = "a"
+        learning_rate: float = 1e-5
+        warmup_ratio: float = 0.1
+        max_steps: int | None = None
+        dtype: str = "float32"
+
+    assert provenance.checked_config(Run, {"max_steps": 3}).max_steps == 3
+    for bad, why in (({"run_name": "a/b"}, "separators"), ({"learning_rate": 0}, "positive"), ({"warmup_ratio": 1}, "lie in"), ({"dtype": "int8"}, "one of"), ({"max_steps": 0}, "where given"), ({"learning_rate": None}, "positive")):
+        with pytest.raises(ValueError, match=why):
+            provenance.checked_config(Run, bad)
+    found = provenance.environment(spark)
+    assert found["packages"]["pyspark"] == spark.version and set(found["git"]) == {"commit", "dirty"}
+    assert provenance.seeded(5).integers(100) == provenance.seeded(5).integers(100)
+
+
+def test_block_digest_does_not_depend_on_partitioning(spark):
+    rows = spark.range(250).selectExpr("id as position", "concat('k', id) as k")
+    digests = {provenance.block_digest(x, "k", "position", 100).first() for x in (rows, rows.repartition(7))}
+    assert len(digests) == 1 and digests.pop().rows == 250
+    assert provenance.block_digest(rows.where("position < 249"), "k", "position", 100).first().digest != provenance.block_digest(rows, "k", "position", 100).first().digest

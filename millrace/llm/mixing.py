@@ -147,10 +147,11 @@ def expected(units: DataFrame, steps: list[np.ndarray], width: int) -> np.ndarra
     return np.array([x or 0.0 for x in summed]).reshape(3, width)
 
 
-def fit_rates(units: DataFrame, share: np.ndarray, most_steps: int = 50, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(units: DataFrame, share: np.ndarray, most_steps: int = 50, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps of the projected gradient, for replay(); target tokens of the largest mix).
 
-    It ends at the tolerance, as a share of the largest target, or when ten steps gain under a tenth.
+    It ends when no source is further off than the tolerance, as a share of the largest target
+    (whole documents and repeats leave more than the default), or when ten steps gain under a tenth.
     """
     steps: list[np.ndarray] = []
     now, rise, fall = expected(units, steps, len(share))

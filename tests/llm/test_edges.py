@@ -252,7 +252,7 @@ def _units(spark, tokens, members, caps):
 def test_rates_meet_targets(spark):
     members = np.array([[1, 0], [0, 1], [0.5, 0.5], [0.1, 0.3]])
     tokens, caps, share = np.array([100.0, 300.0, 50.0, 80.0]), np.array([2.0, 1.0, 1.0, 1.0]), np.array([0.3, 0.7])
-    steps, targets = mixing.fit_rates(_units(spark, tokens, members, caps), share)
+    steps, targets = mixing.fit_rates(_units(spark, tokens, members, caps), share, tolerance=1e-6)
     rates = mixing.replay(members, caps, steps)
     most = (members.T @ (tokens * caps) / share).min()
     assert np.allclose(targets, share * most) and np.allclose(members.T @ (rates * tokens), targets, rtol=1e-5) and (rates >= 0).all() and (rates <= caps).all()
@@ -263,7 +263,7 @@ def test_rates_are_the_least_squares(spark):
     rng = np.random.default_rng(4)
     members = np.concatenate([np.eye(3), rng.dirichlet(np.ones(4), 40)[:, :3]])
     tokens, caps, share = np.concatenate([[400.0, 900.0, 60.0], rng.uniform(5, 60, 40)]), np.concatenate([[2.0, 1.0, 3.0], np.ones(40)]), np.array([0.5, 0.3, 0.2])
-    steps, targets = mixing.fit_rates(_units(spark, tokens, members, caps), share)
+    steps, targets = mixing.fit_rates(_units(spark, tokens, members, caps), share, tolerance=1e-6)
     got = members.T @ (mixing.replay(members, caps, steps) * tokens) - targets
     rates = caps.copy()
     for _ in range(200_000):

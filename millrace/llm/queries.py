@@ -142,7 +142,31 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1].isdigit() and callable(f)}
 
+_CANON = r"upper(replace(lower(regexp_replace({0}, '[\p{{P}}\s\p{{Z}}\x0b\x1c-\x1f\x85]+', '', 'g')), 'ß', 'ss'))"
+_FORMS = rf"""
+    WITH fields AS (SELECT line_id, line, unnest(json_keys(line)) AS k FROM raw_lines WHERE CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END),
+    shown AS (SELECT line_id, k, CASE json_type(line -> k) WHEN 'NULL' THEN 'n' WHEN 'VARCHAR' THEN 's' || {_CANON.format('(line ->> k)')} ELSE 'j' || CAST(line -> k AS VARCHAR) END AS v FROM fields),
+    forms AS (
+        SELECT 'review_samples' AS table_name, review_index AS id, {_CANON.format('problem')} AS form FROM review_samples
+        UNION ALL SELECT 'rejected', reject_id, {_CANON.format('problem_hash')} FROM rejected
+        UNION ALL SELECT 'raw_lines', line_id, CASE WHEN bool_or(v NOT IN ('s', 'n')) THEN string_agg(k || chr(31) || v, chr(30) ORDER BY k) END FROM shown GROUP BY line_id),
+    firsts AS (SELECT table_name, form, min(id) AS first_id, count(*) AS copies FROM forms WHERE form <> '' GROUP BY table_name, form)
+"""
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_WINDOWS = "{0}, i AS {1}, array_to_string(w[i:i+7], ' ') AS gram FROM {2}, LATERAL (SELECT unnest(generate_series(1, len(w) - 7)) AS i) WHERE len(w) >= 8"
+
 ORACLES = {
+    "p1_found": _FORMS + "SELECT table_name, first_id, id AS copy_id FROM forms JOIN firsts USING (table_name, form) WHERE id <> first_id",
+    "p1_groups": _FORMS + "SELECT table_name, first_id, copies FROM firsts",
+    "p4_found": f"""
+        WITH t AS (SELECT review_index, f, {_WORDS.format('x')} AS w FROM (SELECT review_index, 'p' AS f, problem AS x FROM review_samples UNION ALL SELECT review_index, 'g', generation FROM review_samples) WHERE x IS NOT NULL),
+        e AS (SELECT item_id, {_WORDS.format('problem')} AS w FROM eval_suites WHERE problem IS NOT NULL),
+        g AS (SELECT {_WINDOWS.format('review_index, f', 'p', 't')}), ig AS (SELECT {_WINDOWS.format('item_id', 'q', 'e')}),
+        m AS (SELECT review_index, f, item_id, p - q AS d, p FROM g JOIN ig USING (gram)),
+        r AS (SELECT *, p - row_number() OVER (PARTITION BY review_index, f, item_id, d ORDER BY p) AS island FROM m),
+        runs AS (SELECT review_index, f, item_id, min(p) AS s, max(p) + 7 AS e FROM r GROUP BY review_index, f, item_id, d, island)
+        SELECT DISTINCT item_id, review_index FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.review_index = a.review_index AND b.f = a.f AND b.item_id <> a.item_id AND b.s <= a.s AND b.e >= a.e)
+    """,
     "p5_sample": """
         WITH span AS (SELECT min(recorded_at) AS a, max(recorded_at) AS b FROM train),
         cut AS (SELECT a + to_microseconds(CAST(round((epoch_us(b) - epoch_us(a)) * 0.8) AS BIGINT)) AS at FROM span),

@@ -3,11 +3,13 @@
 A table classifier (multinomial, hashed token ids) learns from the documents whose source is
 known. Every document gets a posterior over the target sources and the rest: the source of a
 document is certain evidence, so a labelled one belongs to its source wholly; all others get
-the classifier's posterior and count towards every source by it. None is left out.
+the classifier's posterior and count towards every source, and the rest, by it. None is left
+out of the fit.
 
 The largest possible mix follows from each source's expected tokens times the allowed repeats.
 The rates of the documents are fitted by projected-gradient least squares so that the expected
-token totals meet target share times mix size, with 0 <= rate <= repeats. A step is one
+token totals meet target share times mix size, and 0 for the rest, with 0 <= rate <= repeats:
+a document that is likely of none of the sources gets a low rate or none. A step is one
 aggregation on the cluster: every task replays its documents' rates from the steps so far and
 sums their expected tokens per source; one row of totals per task and nothing else goes to the
 driver. Steps start at what is allowed and are scaled per source by the expected tokens that can
@@ -101,13 +103,13 @@ _UNIT = "id bigint, tokens double, cap double, membership array<double>"
 
 
 def _guessed(weights_bc, cap: float):
-    """Documents without a source: tokens, cap and posterior over the target sources."""
+    """Documents without a source: tokens, cap and posterior over the target sources and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-            found = [posterior(weights_bc.value, flat[a:b])[:-1] for a, b in zip([0, *ends], ends)]
+            found = [posterior(weights_bc.value, flat[a:b]) for a, b in zip([0, *ends], ends)]
             sizes = np.diff(ends, prepend=0).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(np.full(len(found), cap)), pa.array(found, pa.list_(pa.float64()))], names=["id", "tokens", "cap", "membership"])
 
@@ -174,10 +176,10 @@ def _repeated(steps: list[np.ndarray], sources: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members, caps = _matrix(batch.column(3), len(sources)), batch.column(2).to_numpy()
+            members, caps = _matrix(batch.column(3), len(sources) + 1), batch.column(2).to_numpy()
             rates = replay(members, caps, steps)
             repeats = np.floor(rates + batch.column(4).to_numpy()).astype(np.int32)
-            names = pa.array([sources[k] for k in members.argmax(1)], pa.string())
+            names = pa.array([sources[k] for k in members[:, :-1].argmax(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), names, batch.column(1), pa.array(repeats), batch.column(3)], names=["id", "source", "tokens", "repeats", "membership"])
 
     return run
@@ -187,7 +189,7 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     """(chosen documents: id, source, tokens, repeats; report: one row per target source).
 
     source is the document's own, or the likeliest one where it has none; the report counts the
-    latter towards all sources by membership. targets is a list that fits the driver.
+    latter towards all sources by membership; what is likely of the rest counts to none. targets is a list that fits the driver.
     """
     spark = documents.sparkSession
     wanted = [(r[0], r[1] or 0.0, r[2] or 0) for r in targets.select("source", "target_share", "max_repeats").where("source is not null").sort("source").toLocalIterator()]
@@ -199,7 +201,7 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     place = encoding.published(docs, "text", tokenizers)
     sized = runtime.written(docs.mapInArrow(_sized(*place, {s: k for k, s in enumerate(sources)}), _SIZED), "mix-sized")
     weights = spark.sparkContext.broadcast(table_weights(sized.where("class is not null"), width))  # fixed width per target source
-    one = lambda k: [float(k == j) for j in range(width)]
+    one = lambda k: [float(k == j) for j in range(width + 1)]
     plan_schema = "source string, cap double, membership array<double>"
     own = F.broadcast(spark.createDataFrame([(s, float(c), one(k)) for k, (s, c) in enumerate(zip(sources, cap))], plan_schema))  # one row per target source
     known = sized.where("class is null and source is not null and id is not null and tokens > 0").select("id", "source", "tokens")
@@ -207,9 +209,9 @@ def mix(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     guessed = sized.where("hashed is not null and id is not null").select("id", "hashed").mapInArrow(_guessed(weights, strictest), _UNIT)
     totals = known.groupBy("source").agg(F.sum("tokens").cast("double").alias("tokens")).join(own, "source")
     units = runtime.written(totals.select(F.lit(None).cast("bigint").alias("id"), "tokens", "cap", "membership").unionByName(guessed), "mix-units")
-    steps, target_tokens = fit_rates(units, share)
+    steps, target_tokens = fit_rates(units, np.append(share, 0.0))
     # labelled documents: whole repeats, and one more up to the cut
-    rates = replay(np.eye(width), cap, steps)
+    rates = replay(np.eye(width, width + 1), cap, steps)
     whole = np.floor(rates + 1e-9)
     plan = F.broadcast(spark.createDataFrame([(s, int(w), float(r)) for s, w, r in zip(sources, whole, np.maximum(rates - whole, 0))], "source string, whole int, part double"))  # one row per target source
     bucket = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(_BUCKETS)).cast("int")

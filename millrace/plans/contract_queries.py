@@ -150,14 +150,14 @@ def longest_record(spark, d):
     return gates.validated_extreme(t, "row_index").select("sample_id", F.size("input_ids").alias("n"))
 
 
-_PAIR = "trim(coalesce(problem, '')) <> '' AND trim(coalesce(generation, '')) <> '' AND coalesce(status = 'accepted' OR list_contains(issues, review_reason), false)"
+_PAIR = "replace(coalesce(problem, ''), ' ', '') <> '' AND replace(coalesce(generation, ''), ' ', '') <> '' AND coalesce(status = 'accepted' OR list_contains(issues, review_reason), false)"
 _VERDICT = "CASE WHEN status = 'accepted' THEN CASE WHEN length(generation) % 2 = 0 THEN 'keep' ELSE 'flag' END ELSE CASE WHEN length(generation) % 2 = 0 THEN 'agree' ELSE 'disagree' END END"
 
 
 @query(f"SELECT status, {_VERDICT} AS verdict, count(*) AS n FROM review_samples WHERE {_PAIR} GROUP BY 1, 2")
 def review_decisions(spark, d):
     """A bundle's rows with decisions that name artifact, reviewer and record hash; misfits would raise."""
-    r = table(spark, d, "review_samples").where("trim(coalesce(problem, '')) <> '' and trim(coalesce(generation, '')) <> '' and coalesce(status = 'accepted' or array_contains(issues, review_reason), false)")
+    r = table(spark, d, "review_samples").where("replace(coalesce(problem, ''), ' ', '') <> '' and replace(coalesce(generation, ''), ' ', '') <> '' and coalesce(status = 'accepted' or array_contains(issues, review_reason), false)")
     bundle = r.select("review_index", "status", "problem", "generation", "issues", "review_reason")
     bundle = files.review_bundle(bundle, bundle.count()).withColumn("record_sha256", provenance.record_hash(["review_index", "status", "problem", "generation"]))
     even = F.length("generation") % 2 == 0
@@ -183,7 +183,7 @@ def decision_upsert(spark, d):
     + """, keyed AS (SELECT *, sha256(concat_ws(':', 'independent-sft-v1', 'review', coalesce(sample_id, 'missing'), CAST(row_index AS VARCHAR))) AS review_key FROM audited),
     picked AS (SELECT 'accepted' AS reason, row_index, review_key FROM keyed WHERE issues = '' UNION ALL SELECT unnest(string_split(issues, ',')), row_index, review_key FROM keyed WHERE issues <> ''),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY review_key, row_index) AS rank FROM picked)
-    SELECT reason, row_index, sha256(problem) AS problem_sha256, sha256(generation) AS generation_sha256 FROM ranked JOIN review_samples ON row_index = review_index WHERE rank <= CASE WHEN reason = 'accepted' THEN 20 ELSE 3 END"""
+    SELECT reason, ranked.row_index, sha256(problem) AS problem_sha256, sha256(generation) AS generation_sha256 FROM ranked JOIN review_samples ON ranked.row_index = review_index WHERE rank <= CASE WHEN reason = 'accepted' THEN 20 ELSE 3 END"""
 )
 def review_sample_texts(spark, d):
     """The review sample with its texts, which only the winners fetch."""
